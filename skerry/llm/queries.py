@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact, minhash, mixing, packing, token_counts
+from . import exact, minhash, mixing, packing, token_counts, urls, vectors
 
 
 def queries() -> dict:
     return {
+        "op3_near_vectors": vectors.op3_near_vectors,
         "op5_mixing": mixing.op5_mixing,
         "op6_token_counts": token_counts.op6_token_counts,
+        "op7_url_rules": urls.op7_url_rules,
         "op8_exact_dedup": exact.op8_exact_dedup,
         "op9_minhash": minhash.op9_minhash,
         "op10_packing": packing.op10_packing,
@@ -16,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.SQL, "op8_exact_dedup": exact.SQL}
+    return {"op3_near_vectors": vectors.SQL, "op5_mixing": mixing.SQL, "op8_exact_dedup": exact.SQL}
