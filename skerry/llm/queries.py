@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact, minhash, mixing, packing, token_counts, urls, vectors
+from . import exact, minhash, mixing, packing, token_counts, toxicity, urls, vectors
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op3_near_vectors": vectors.op3_near_vectors,
         "op5_mixing": mixing.op5_mixing,
         "op6_token_counts": token_counts.op6_token_counts,
