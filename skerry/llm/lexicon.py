@@ -5,15 +5,17 @@ joins characters across white space and the normaliser works within a block, so
 (maximal runs without white space) one after another.  Inside a block the splitter's automaton (letters, digits, others,
 contractions) emits pre-tokens.  Both levels' transitions, from *between blocks* by a block and by a pre-token, are
 annotated with the ids (or their number) that they emit; they are compiled from the tokenizer as they first appear.
-Compiled transitions are dropped together beyond a number, which bounds memory and changes no result.
+Compiled transitions are kept in two generations: when the young one is full it becomes the old one, and the old one is
+dropped but for what is used again.  That bounds memory and changes no result.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import struct
 
-#: Transitions by block and by pre-token held at once; longer blocks than MAX_BLOCK are compiled each time they come.
+#: Transitions by block and by pre-token in a generation; longer blocks than MAX_BLOCK are compiled each time they come.
 MAX_TRANSITIONS, MAX_BLOCK = 400_000, 64
 _CONTROL = "\x1c\x1d\x1e\x1f"  # white space to str.split(), not to the tokenizer
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -28,6 +30,25 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Transitions(dict):
+    """Two generations of compiled transitions; ``make`` compiles one."""
+
+    def __init__(self, make) -> None:
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str):
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
+        if len(self) >= MAX_TRANSITIONS:
+            self.old = dict(self)
+            self.clear()
+        if len(key) <= MAX_BLOCK:
+            self[key] = out
+        return out
+
+
 class BlockLexicon:
     """emit: what a transition emits for its list of ids, such as their number; joined: puts such outputs together."""
 
@@ -40,7 +61,7 @@ class BlockLexicon:
         t = self.tokenizer = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
-        self.emit, self.joined, self.edges, self.words = emit, joined, {}, {}
+        self.emit, self.joined, self.edges, self.words = emit, joined, Transitions(self._block), Transitions(self._word)
         added = t.get_added_tokens_decoder().values()
         self.special = [a.content for a in added]
         # A special string that takes in white space would cross blocks: such texts go to the tokenizer whole.
@@ -53,7 +74,7 @@ class BlockLexicon:
             low = [c for c in _LATIN if len(n := t.normalizer.normalize_str(c)) == 1 and n == c.lower() and len(t.pre_tokenizer.pre_tokenize_str(f"a{n}a")) == 1]
             small = "".join(sorted({c.lower() for c in low}))
             self.known = re.compile(f"[\x00-\x7f{''.join(low)}]*")
-            self.find = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{small}]+|[0-9]|[^a-z{small}0-9]+").findall
+            self.find = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{small}]+|[0-9]|[^\\sa-z{small}0-9]+").findall
             self.letters = _byte_letters()
 
     def whole(self, text: str) -> bool:
@@ -63,38 +84,25 @@ class BlockLexicon:
     def encode(self, text: str):
         return self.emit(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def _word(self, word: str):
+        return self.emit([t.id for t in self.tokenizer.model.tokenize("".join(map(self.letters.__getitem__, word.encode())))])
+
+    def simple(self, text: str) -> bool:
+        """Whether the automaton inside blocks is compiled for all characters of the text, which has no special string."""
+        return self.splits and self.known.fullmatch(text) is not None and not any(s in text for s in self.special)
+
     def _block(self, block: str):
-        if not self.splits or not self.known.fullmatch(block) or any(s in block for s in self.special):
-            return self.encode(block)
-        words, out = self.words, []
-        for w in self.find(block.lower()):
-            x = words.get(w)
-            if x is None:
-                x = self.emit([t.id for t in self.tokenizer.model.tokenize("".join(map(self.letters.__getitem__, w.encode())))])
-                if len(words) >= MAX_TRANSITIONS:
-                    words.clear()
-                if len(w) <= MAX_BLOCK:
-                    words[w] = x
-            out.append(x)
-        return self.joined(out)
+        return self.joined(map(self.words.__getitem__, self.find(block.lower()))) if self.simple(block) else self.encode(block)
+
+    def read(self, text: str):
+        """What a text emits from and to the state between blocks."""
+        if self.whole(text):
+            return self.encode(text)
+        return self.joined(map(self.words.__getitem__, self.find(text.lower())) if self.simple(text) else map(self.edges.__getitem__, text.split()))
 
     def outputs(self, blocks: list[str]) -> list:
         """What the transitions of the blocks emit, in order."""
-        edges = self.edges
-        try:
-            return [edges[b] for b in blocks]
-        except KeyError:
-            out = []
-            for b in blocks:
-                x = edges.get(b)
-                if x is None:
-                    x = self._block(b)
-                    if len(edges) >= MAX_TRANSITIONS:
-                        edges.clear()
-                    if len(b) <= MAX_BLOCK:
-                        edges[b] = x
-                out.append(x)
-            return out
+        return list(map(self.edges.__getitem__, blocks))
 
 
 _HELD: dict[tuple, BlockLexicon] = {}
@@ -108,10 +116,9 @@ def lexicon(path: str, kind: str) -> BlockLexicon:
         if kind == "count":
             _HELD[path, kind] = BlockLexicon(path, len, sum)
         else:
-            import numpy as np
-
-            dtype = "<u2" if kind == "ids2" else "<u4"
-            _HELD[path, kind] = BlockLexicon(path, lambda ids: np.array(ids, dtype).tobytes(), b"".join)
+            code = "<%dH" if kind == "ids2" else "<%dI"
+            forms = [struct.Struct(code % n).pack for n in range(9)]
+            _HELD[path, kind] = BlockLexicon(path, lambda ids: forms[n](*ids) if (n := len(ids)) < 9 else struct.pack(code % n, *ids), b"".join)
     return _HELD[path, kind]
 
 

@@ -136,7 +136,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, en
             vectors = np.zeros((len(texts), DIMS), np.float32)
             for i, t in enumerate(texts):
                 t = t or ""
-                data = lex.encode(t) if lex.whole(t) else b"".join(lex.outputs(t.split()))
+                data = lex.read(t)
                 if data:
                     vectors[i] = rows[np.frombuffer(data, dtype) & 0xFFFF].sum(0)
                 ids.append(data + stop)

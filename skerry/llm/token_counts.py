@@ -38,7 +38,7 @@ def chunk_map(chunk: str, lex: BlockLexicon) -> ChunkMap:
     blocks = chunk.split()
     head = blocks.pop(0) if first.start() else ""
     tail = blocks.pop() if blocks and not chunk[-1].isspace() else ""
-    return ChunkMap(head, sum(lex.outputs(blocks)), tail)
+    return ChunkMap(head, lex.read(" ".join(blocks)), tail)
 
 
 def compose(a: ChunkMap, b: ChunkMap, lex: BlockLexicon) -> ChunkMap:
@@ -65,10 +65,8 @@ def total(m: ChunkMap, lex: BlockLexicon) -> int:
 
 
 def count_tokens(text: str, lex: BlockLexicon, chunk: int = CHUNK) -> int:
-    if lex.whole(text):
-        return lex.encode(text)
-    if len(text) <= chunk:
-        return sum(lex.outputs(text.split()))
+    if len(text) <= chunk or lex.whole(text):
+        return lex.read(text)
     return total(scan([chunk_map(text[i : i + chunk], lex) for i in range(0, len(text), chunk)], lex)[-1], lex)
 
 
