@@ -7,6 +7,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def strip_slash(url: Column) -> Column:
@@ -51,7 +52,7 @@ def normalize(url: Column) -> Column:
     return F.when(~scheme.isin("http", "https") | (site == "") | (t == ""), "").otherwise(strip_slash(whole))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _joined(base: pd.Series, ref: pd.Series) -> pd.Series:
     return pd.Series([urljoin(b or "", r or "") for b, r in zip(base, ref, strict=True)])
 
