@@ -191,18 +191,18 @@ def context(blocks: list[str], i: int) -> float:
 
     def opened() -> bool:
         for b in [own, *reversed(before)]:
-            if b[0] in OPENING and len(b) > 1:
-                return True
             if b is not own and b.rstrip(".,;:!?")[-1:] in CLOSING and b.rstrip(".,;:!?"):
                 return False
+            if b[0] in OPENING and len(b) > 1:
+                return True
         return False
 
     def closed() -> bool:
         for b in [own, *after]:
-            if (x := b.rstrip(".,;:!?")) and x[-1] in CLOSING and len(x) > 1:
-                return True
             if b is not own and b[0] in OPENING:
                 return False
+            if (x := b.rstrip(".,;:!?")) and x[-1] in CLOSING and len(x) > 1:
+                return True
         return False
 
     if opened() and closed():
