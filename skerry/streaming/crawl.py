@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from skerry.functions import urls
 from skerry.operators.scope import Scope, robots_allowed
+from skerry.sources.scratch import cut
 
 
 def frontier(links: DataFrame, seeds: DataFrame, max_depth: int = 3, max_pages: int = 0, scope: Scope | None = None, robots: DataFrame | None = None) -> DataFrame:
@@ -24,14 +25,15 @@ def frontier(links: DataFrame, seeds: DataFrame, max_depth: int = 3, max_pages:
         edges = edges.where(scope.contains(F.col("url")))
     if robots is not None:
         edges = robots_allowed(edges, robots).where("allowed").drop("allowed")
-    edges = edges.select(urls.normalize(F.col("src")).alias("src"), "url").persist()
+    edges = cut(edges.select(urls.normalize(F.col("src")).alias("src"), "url"))
     found = seeds.select(urls.normalize(F.col("url")).alias("url")).where("url <> ''").distinct().withColumn("depth", F.lit(0))
-    last = found
+    found = cut(found)
     for depth in range(1, max_depth + 1):
-        new = edges.join(last.select(F.col("url").alias("at")), F.col("src") == F.col("at")).select("url").distinct().join(found.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)).persist()
+        last = found.where(F.col("depth") == depth - 1).select(F.col("url").alias("at"))
+        new = cut(edges.join(last, F.col("src") == F.col("at")).select("url").distinct().join(found.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)))
         if new.isEmpty():
             break
-        found, last = found.unionByName(new), new
+        found = found.unionByName(new)
     return found.orderBy("depth", "url").limit(max_pages) if max_pages else found
 
 
@@ -73,7 +75,7 @@ def token_bucket(events: DataFrame, rate: float = 10.0, burst: int = 5) -> DataF
                 wait.append(round(at - t, 6))
             yield pd.DataFrame({"key": p["key"], "event_id": p["event_id"], "tokens": left, "wait": wait})
 
-    rows = events.select(F.col("key").cast("string").alias("key"), F.col("event_id").cast("long").alias("event_id"), (F.unix_micros("ts") / 1e6).alias("t"))
+    rows = events.select(F.col("key").cast("string").alias("key"), F.col("event_id").cast("long").alias("event_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
     return rows.repartition("key").sortWithinPartitions("key", "t", "event_id").mapInPandas(run, "key string, event_id long, tokens double, wait double")
 
 
@@ -95,7 +97,7 @@ def cache_hits(events: DataFrame, ttl: float = 60.0) -> DataFrame:
                 filled = filled if ok else t
             yield pd.DataFrame({"key": p["key"], "event_id": p["event_id"], "hit": hit})
 
-    rows = events.select(F.col("key").cast("string").alias("key"), F.col("event_id").cast("long").alias("event_id"), (F.unix_micros("ts") / 1e6).alias("t"))
+    rows = events.select(F.col("key").cast("string").alias("key"), F.col("event_id").cast("long").alias("event_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
     return rows.repartition("key").sortWithinPartitions("key", "t", "event_id").mapInPandas(run, "key string, event_id long, hit boolean")
 
 
