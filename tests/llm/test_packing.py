@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import functools
 import itertools
 import zlib
 
@@ -13,10 +14,16 @@ from skerry.llm.common import table
 PATH = lexicon.default_path()
 
 
-def ids_of(texts):
+@functools.cache
+def tokenizer():
     t = Tokenizer.from_file(PATH)
     t.no_truncation()
     t.no_padding()
+    return t
+
+
+def ids_of(texts):
+    t = tokenizer()
     return [[*e.ids, 2] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
