@@ -1,13 +1,15 @@
 """Secret scanning: patterns over texts to findings.
 
 All patterns are unrolled into one projection of literal expressions, so each is compiled once a task and the scan stays
-within code generation; a single alternation of all patterns' fixed openings is not needed to skip clean texts, since
-an array of matches that comes out empty costs no row.
+within code generation.  A pattern is tried only on texts that contain the longest literal all its matches must have.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from re import _constants as C
+from re import _parser
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,9 +29,32 @@ def false_positive(match: Column, text: Column) -> Column:
     return suspicious_text(text) | (F.instr(F.lower(match), "placeholder") > 0) | (F.octet_length(match) < 8)
 
 
-def _groups(p: Pattern) -> int:
-    import re
+def required(regex: str) -> tuple[str, bool]:
+    """(literal, whether case is ignored): the longest text that each match of ``regex`` has in it, empty if unknown."""
+    tree = _parser.parse(regex)
+    runs = [""]
+
+    def walk(items) -> None:
+        for op, arg in items:
+            if op is C.LITERAL:
+                runs[-1] += chr(arg)
+            elif op is C.SUBPATTERN and not arg[1] and not arg[2]:
+                walk(arg[3])
+            elif op is not C.AT:
+                runs.append("")
+
+    walk(tree)
+    best = max(runs, key=len)
+    return (best, bool(tree.state.flags & re.IGNORECASE)) if best.isascii() else ("", False)
+
 
+def _may_match(p: Pattern, text: Column, low: Column) -> Column:
+    """A plain search that spares most texts most expressions; it never turns a match away."""
+    literal, any_case = required(p.regex)
+    return F.lit(True) if len(literal) < 2 else low.contains(literal.lower()) if any_case else text.contains(literal)
+
+
+def _groups(p: Pattern) -> int:
     return re.compile(p.regex).groups
 
 
@@ -56,10 +81,12 @@ def scan(texts: DataFrame, patterns: Sequence[Pattern] | None = None, min_severi
     ps = [(i, p) for i, p in enumerate(rows) if p.severity >= min_severity]
 
     def matches(i: int, p: Pattern) -> Column:
-        return F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit("(?d)" + p.regex), 0)), lambda m: F.struct(F.lit(i).alias("ord"), m.alias("full")))
+        all_ = F.regexp_extract_all("text", F.lit("(?d)" + p.regex), 0)
+        some = F.when(_may_match(p, F.col("text"), F.col("low")), all_).otherwise(F.array().cast("array<string>"))
+        return F.transform(F.array_distinct(some), lambda m: F.struct(F.lit(i).alias("ord"), m.alias("full")))
 
     found = F.flatten(F.array(*[matches(i, p) for i, p in ps]))
-    hits = texts.where("text is not null").where(~suspicious_text(F.col("text"))).select("text", "source", F.posexplode(found).alias("pos", "hit")).select("text", "source", "pos", "hit.*").where(~false_positive(F.col("full"), F.lit("")))
+    hits = texts.where("text is not null").where(~suspicious_text(F.col("text"))).withColumn("low", F.lower("text")).select("text", "source", F.posexplode(found).alias("pos", "hit")).select("text", "source", "pos", "hit.*").where(~false_positive(F.col("full"), F.lit("")))
 
     def by(fn) -> Column:
         out = None
