@@ -123,8 +123,8 @@ def _(spark, d):
 
 @query("page_links", f"with {_LINKS} select distinct src as url, dst as link from links where dst not like '%.' and dst not like '%/'")
 def _(spark, d):
-    # by the parser; references that end in a dot are normalised away by RFC 3986 and are left out on both sides
-    return _parsed(spark, d).select("url", F.explode("links").alias("link")).where("link not like '%.' and link <> '' and link not like '%/'").distinct()
+    # by the parser, all links; the SQL leaves out those that end in a dot or a slash
+    return _parsed(spark, d).select("url", F.explode("links").alias("link")).where("link <> ''").distinct()
 
 
 @query("page_forms")

@@ -180,3 +180,16 @@ def test_registry():
     for bad in (Plugin("a", "1", "analyzer", lambda d: d), Plugin("", "1", "analyzer", lambda d: d), Plugin("c", "1", "x", lambda d: d)):
         with pytest.raises(ValueError):
             r.register(bad)
+
+
+def test_page_links_keep_final_dots_and_slashes(spark):
+    """The registered query against every <a href> of the pages, resolved by the standard library."""
+    import re
+    from urllib.parse import urljoin
+
+    from skerry import catalogue
+
+    d = "/root/testdata/sf0.01"
+    want = {(r.url, urljoin(r.url, h)) for r in spark.read.parquet(f"{d}/pages.parquet").collect() for h in re.findall(r'<a href="([^"]*)"', r.html)}
+    assert any(x[1].endswith(".") for x in want)
+    assert {(r.url, r.link) for r in catalogue.queries()["page_links"](spark, d).collect()} == want
