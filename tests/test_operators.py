@@ -193,3 +193,11 @@ def test_page_links_keep_final_dots_and_slashes(spark):
     want = {(r.url, urljoin(r.url, h)) for r in spark.read.parquet(f"{d}/pages.parquet").collect() for h in re.findall(r'<a href="([^"]*)"', r.html)}
     assert any(x[1].endswith(".") for x in want)
     assert {(r.url, r.link) for r in catalogue.queries()["page_links"](spark, d).collect()} == want
+
+
+def test_long_chains_are_followed_to_their_end(spark):
+    e = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(66)], "source string, target string")
+    assert graph.reachable(e, "n0").count() == 66
+    assert graph.reachable(e, "n0", 3).count() == 3
+    assert [(len(r.path), r.hops) for r in graph.paths(e, "n0", "n14").collect()] == [(15, 14)]
+    assert graph.paths(e, "n0", "n14", 12).collect() == []
