@@ -155,8 +155,8 @@ def _(spark, d):
 
 @query("js_scan", None)
 def _(spark, d):
-    s = js.scan(F.col("text"))
-    return spark.createDataFrame(fixtures.SCRIPTS, "file string, text string").select("file", s.alias("s")).select("file", "s.*")
+    scripts = _parsed(spark, d).select(F.col("url").alias("file"), F.explode("inline_scripts").alias("text"))
+    return scripts.select("file", js.scan(F.col("text")).alias("s")).select("file", "s.*")
 
 
 _Q = r"""['"]([^'"]+)['"]"""

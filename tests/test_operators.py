@@ -201,3 +201,19 @@ def test_long_chains_are_followed_to_their_end(spark):
     assert graph.reachable(e, "n0", 3).count() == 3
     assert [(len(r.path), r.hops) for r in graph.paths(e, "n0", "n14").collect()] == [(15, 14)]
     assert graph.paths(e, "n0", "n14", 12).collect() == []
+
+
+def test_scripts_of_all_pages(spark):
+    """js_scan reads the whole table: a row for each inline script."""
+    from skerry import catalogue
+
+    d, q = "/root/testdata/sf0.01", catalogue.queries()
+    assert q["js_scan"](spark, d).count() == q["inline_scripts"](spark, d).count() > 3
+
+
+def test_scan_of_stated_scripts(spark):
+    from skerry.functions import js
+    from skerry.plans import fixtures
+
+    df = spark.createDataFrame(fixtures.SCRIPTS, "file string, text string").select("file", js.scan(F.col("text")).alias("s"))
+    assert [r.file for r in df.orderBy("file").collect()] == ["a.js", "b.js", "c.js"]
