@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,23 +20,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (one machine, as in tests) a temporary folder takes its place.
+    Only where that is unset and Spark runs on one machine, as in tests, a temporary folder takes its place; on a
+    cluster that is an error, for its executors do not see such a folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         known = spark.sparkContext.getCheckpointDir()
         if not known:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skerry-"))
             known = spark.sparkContext.getCheckpointDir()
         root = known
     return f"{root.rstrip('/')}/skerry/{uuid.uuid4().hex}"
 
 
+#: Bytes that Spark sends a Python worker at a time while it writes a stored table.
+BATCH_BYTES = 4 << 20
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again: later jobs neither recompute it nor lose it with an executor."""
+    """``df`` written to the shared folder and read again: later jobs neither recompute it nor lose it with an executor.
+
+    Python stages on the way get batches of at most ``BATCH_BYTES``, so a worker's memory does not grow with the texts.
+    """
     spark = df.sparkSession
-    path = scratch(spark)
-    df.write.option("compression", "zstd").parquet(path)
+    path, key = scratch(spark), "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._skerry_path = path
     return out
@@ -49,6 +66,37 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def lean(run: Callable) -> Callable:
+    """``run``, for mapInArrow, giving freed memory back at its end: workers live on, and their memory counts while others work."""
+
+    @wraps(run)
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ctypes
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim:
+                trim(0)
+
+    return inner
+
+
+def sliced(batch: pa.RecordBatch, column: int, rows: int = 500, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of ``batch`` of at most ``rows`` rows and, but for a longer single text, ``size`` bytes in ``column``."""
+    at = held = 0
+    for i, n in enumerate(pa.compute.binary_length(batch.column(column)).to_pylist()):
+        n = n or 0
+        if i > at and (i - at >= rows or held + n > size):
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += n
+    if at < batch.num_rows:
+        yield batch.slice(at)
+
+
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     """``df`` dealt over all cores when it has fewer partitions than that, whatever its file sizes."""
     return df.repartition(max(2, df.sparkSession.sparkContext.defaultParallelism * per_core))

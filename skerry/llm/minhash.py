@@ -5,6 +5,8 @@
 2. Banding: the members of a band bucket are paired with the bucket's hub only (its least member by a hash that differs
    by band), never with each other.
 3. Signature verification: pairs whose signatures agree on too few minima for a wide margin below the threshold go.
+   Where that leaves a bucket's members apart, as among documents that share boilerplate, those not close to its hub are
+   banded again among themselves, by the bucket and some more of their minima, and so on.
 4. Large-star and small-star rounds turn the pairs into clusters that hold every pair above the threshold.
 5. Within a cluster, links are decided on the full shingle sets by search over an inverted index in which each
    document, once linked, leaves the index.  Clusters of more shingles than a task should hold are cut into chunks
@@ -20,16 +22,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, groups, stored, table, utf8
+from .common import discard, fresh, lean, sliced, stored, table, utf8
 from .components import components
 from .hashing import batch_words, mix64, shingles
 
 BANDS = 32
 #: Largest chance that a pair right at the threshold shares no band.
 MISS = 1e-4
-#: Shingles of a chunk: 32 MB of hashes.
-CHUNK = 4 << 20
+#: Shingles of a chunk (or texts of 16 times as many bytes): 8 MB of hashes.
+CHUNK = 1 << 20
 _SUB = 1 << 19
+#: Rounds of banding, and bands by so many further minima into which a member goes in each round after the first.
+ROUNDS, FURTHER, MINIMA = 6, 4, 3
+#: Signatures count as linked from this far below the threshold on, as close from this far on; 192 minima err by less.
+LOW, HIGH = 0.35, 0.15
 
 
 def rows_for(threshold: float, bands: int = BANDS, miss: float = MISS) -> int:
@@ -81,9 +87,9 @@ def text_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
 def scanner(k: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                b = batch.slice(at, 500)
-                sets = text_sets(utf8(b.column(1)), k)
+            for b in sliced(batch, 1):
+                texts = utf8(b.column(1))
+                sets, size = text_sets(texts, k), [len(t) for t in texts]
                 one, two = fingerprints(sets)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 keys, sig = [None] * len(sets), [None] * len(sets)
@@ -96,26 +102,59 @@ def scanner(k: int, rows: int):
                     for j, i in enumerate(full):
                         keys[i], sig[i] = acc[j].view(np.int64), small[j].tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
-                    ["doc_id", "n", "f1", "f2", "bands", "sig"],
+                    [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
+                    ["doc_id", "n", "size", "f1", "f2", "bands", "sig"],
                 )
 
-    return run
+    return lean(run)
 
 
-def _alike(least: float):
-    """Pairs (a, b, sig_a, sig_b) with an estimated similarity of ``least`` or more."""
+def _alike(low: float, high: float):
+    """(a, b, near, keys) of pairs (a, b, sig_a, sig_b, keys): near is 2 for an estimated similarity of ``high`` or more, 1 of ``low``, else 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in (2, 3))
-            same = (x == y).mean(1)
-            good = pa.array((same - 1 / 256) / (1 - 1 / 256) >= least)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(good), b.column(1).filter(good)], ["a", "b"])
+            same = ((x == y).mean(1) - 1 / 256) / (1 - 1 / 256)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((same >= low).astype(np.int32) + (same >= high)), b.column(4)], ["a", "b", "near", "keys"])
 
-    return run
+    return lean(run)
+
+
+def candidates(alive: DataFrame, threshold: float, minima: int) -> DataFrame:
+    """(a, b): pairs that put documents in one cluster if a chain of links can join them; ``alive`` has rep, bands and sig.
+
+    A pair above the threshold that meets in a bucket is either linked to the same hub or banded again together: one of
+    the two that is as close as HIGH to the hub has the other within LOW.
+    """
+    sig = alive.select("rep", "sig")
+    level, out = alive.select("rep", F.explode("bands").alias("key")), []
+    for depth in range(1, ROUNDS + 1):
+        hub = F.min(F.struct(F.xxhash64("key", "rep").alias("o"), "rep")).alias("hub")
+        hubs = level.groupBy("key").agg(hub, F.count("*").alias("m")).where("m > 1").select("key", F.col("hub.rep").alias("b"))
+        pairs = level.join(hubs, "key").where("rep <> b").groupBy(F.col("rep").alias("a"), "b").agg(F.collect_set("key").alias("keys"))
+        both = pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
+        judged = stored(both.select("a", "b", "sa", "sb", "keys").mapInArrow(_alike(threshold - LOW, threshold - HIGH), "a long, b long, near int, keys array<long>"))
+        if depth > 1:
+            discard(level)
+        out.append(judged)
+        apart = judged.where("near < 2").select(F.col("a").alias("rep"), "near", F.explode("keys").alias("key"))
+        mixed = apart.groupBy("key").agg(F.min("near").alias("low"), F.count("*").alias("m")).where("low = 0 and m > 1").select("key")
+        at = np.random.Generator(np.random.PCG64(depth)).integers(1, minima + 1, (FURTHER, MINIMA)).tolist()
+        more = F.array(*[F.xxhash64("key", F.lit(i), *[F.substring("sig", p, 1) for p in ps]) for i, ps in enumerate(at)])
+        level = stored(apart.join(mixed, "key").join(sig, "rep").select("rep", F.explode(more).alias("key")))
+        if level.isEmpty():
+            break
+    discard(level)
+    found = out[0]
+    for more_found in out[1:]:
+        found = found.union(more_found)
+    links = stored(found.where("near > 0").select("a", "b"))
+    for x in out:
+        discard(x)
+    return links
 
 
 def linked_groups(sets: list[np.ndarray], percent: int) -> list[int]:
@@ -139,18 +178,23 @@ def linked_groups(sets: list[np.ndarray], percent: int) -> list[int]:
                                 label[y] = i
                                 todo.append(y)
         return label
-    flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-    owner = np.repeat(np.arange(len(sets)), n)
-    _, ids = np.unique(flat, return_inverse=True)
-    ids = ids.astype(np.int64)
     first = np.concatenate([[0], np.cumsum(n)])
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), n)
+    flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+    order = np.argsort(flat).astype(np.int32 if len(flat) < 1 << 31 else np.int64)
+    flat = flat[order]
+    rank = np.cumsum(np.concatenate([[False], flat[1:] != flat[:-1]])[: len(flat)], dtype=np.int32)
+    ids = np.empty(len(flat), np.int32)
+    ids[order] = rank
+    top = int(rank[-1]) + 1 if len(rank) else 0
+    del flat, order, rank
     left = np.ones(len(sets), bool)
 
     def index() -> tuple[np.ndarray, np.ndarray]:
         live = left[owner]
         i, o = ids[live], owner[live]
         order = np.argsort(i, kind="stable")
-        return np.concatenate([[0], np.cumsum(np.bincount(i, minlength=int(ids.max(initial=-1)) + 1))]), o[order]
+        return np.concatenate([[0], np.cumsum(np.bincount(i, minlength=top))]), o[order]
 
     start, posts = index()
     held = len(sets)
@@ -178,22 +222,37 @@ def linked_groups(sets: list[np.ndarray], percent: int) -> list[int]:
 
 
 def _search(k: int, percent: int):
+    """(a, b, many): each document (doc_id, text, cluster, i, j, many; sorted by the last four) that is not its group's least, with that one.
+
+    Texts become shingle sets batch by batch as they come; a task holds the sets of two chunks, not their texts.
+    """
+
+    def linked(ids: list[int], sets: list[np.ndarray], many: bool) -> Iterator[pa.RecordBatch]:
+        label = linked_groups(sets, percent)
+        least: dict[int, int] = {}
+        for d, x in zip(ids, label, strict=True):
+            least[x] = min(d, least.get(x, d))
+        a = [d for d, x in zip(ids, label, strict=True) if d != least[x]]
+        if a:
+            b = [least[x] for d, x in zip(ids, label, strict=True) if d != least[x]]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([many] * len(a))], ["a", "b", "many"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int, bool]] = []
-        for (_, _, _, many), t in groups(batches, ["cluster", "i", "j", "many"]):
-            ids = t.column("doc_id").to_pylist()
-            label = linked_groups(text_sets(utf8(t.column("text").combine_chunks()), k), percent)
-            least: dict[int, int] = {}
-            for d, x in zip(ids, label, strict=True):
-                least[x] = min(d, least.get(x, d))
-            out += [(d, least[x], many) for d, x in zip(ids, label, strict=True) if d != least[x]]
-            if len(out) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["a", "b", "many"])
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["a", "b", "many"])
-
-    return run
+        now, ids, sets = None, [], []
+        for batch in batches:
+            for b in sliced(batch, 1):
+                keys = zip(*(b.column(c).to_pylist() for c in (2, 3, 4, 5)), strict=True)
+                for d, key, own in zip(b.column(0).to_pylist(), keys, text_sets(utf8(b.column(1)), k), strict=True):
+                    if key != now:
+                        if ids:
+                            yield from linked(ids, sets, now[3])
+                        now, ids, sets = key, [], []
+                    ids.append(d)
+                    sets.append(own)
+        if ids:
+            yield from linked(ids, sets, now[3])
+
+    return lean(run)
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
@@ -207,16 +266,13 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
     """
     rows = rows_for(percent / 100)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scanned = stored(plain.mapInArrow(scanner(shingle, rows), "doc_id long, n long, f1 long, f2 long, bands array<long>, sig binary"))
+    scanned = stored(plain.mapInArrow(scanner(shingle, rows), "doc_id long, n long, size long, f1 long, f2 long, bands array<long>, sig binary"))
     key = ["n", "f1", "f2"]
     reps = stored(scanned.where("n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep")))
-    alive = stored(scanned.select("doc_id", *key, "bands", "sig").join(reps, key).where("doc_id = rep").select("rep", "n", "bands", "sig"))
-    buckets = alive.select("rep", F.explode("bands").alias("key"))
-    hubs = buckets.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "rep").alias("o"), "rep")).alias("hub"), F.count("*").alias("m")).where("m > 1").select("key", F.col("hub.rep").alias("hub"))
-    pairs = buckets.join(hubs, "key").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    sig = alive.select("rep", "sig")
-    both = pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb")
-    cluster = stored(components(both.mapInArrow(_alike(percent / 100 - 0.35), "a long, b long")))
+    alive = stored(scanned.select("doc_id", *key, "size", "bands", "sig").join(reps, key).where("doc_id = rep").select("rep", F.greatest("n", F.expr("size div 16")).alias("n"), "bands", "sig"))
+    pairs = candidates(alive, percent / 100, BANDS * rows)
+    cluster = stored(components(pairs))
+    discard(pairs)
     sized = cluster.join(alive.select("rep", "n"), cluster.node == F.col("rep"))
     parts = sized.groupBy("component").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("s"))
     mine = F.pmod(F.xxhash64("node"), F.col("s")).cast("int")
