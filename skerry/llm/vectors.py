@@ -4,10 +4,13 @@
 2. The unit vectors are projected on many random lines.  A pair collides on a line if one lies in the window centred at
    the other.  At the threshold's distance the number of collisions is binomial, which gives the least count that
    keeps the wanted recall; only pairs with that many collisions are verified, by their cosine in double precision.
-3. A label is cut into blocks along the first line.  Two blocks meet in one task unless every pair of theirs is further
-   apart on that line than a pair at the threshold can be, but for a chance below the recall's; so a task holds two
-   blocks at most, however large a label is, and no pair of vectors ever leaves a task: a task returns, for each
-   vector, its number of links and one edge of a spanning forest.
+3. A label of more vectors than a block holds is dealt into cells by the signs of some projections on further lines, in
+   several tables of such cells: as many as leave a pair at the threshold apart in all of them with a chance below MISS,
+   whatever the data (a line through the origin parts two unit vectors with a chance of their angle over pi).  A cell is
+   a task; a pair counts in the first table that has it in one cell.  So work grows with n times the number of tables,
+   which grows with the logarithm of n.  A cell that holds more than a block, as where vectors crowd, is cut into
+   blocks, and every two blocks meet.  No pair of vectors ever leaves a task: a task returns, for each vector, its
+   number of links and one edge of a spanning forest.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups, stored, table
+from .common import discard, groups, lean, stored, table
 from .components import components
 
 LINES, WINDOW = 64, 0.1
@@ -45,16 +48,32 @@ def least_count(threshold: float, window: float = WINDOW, lines: int = LINES, mi
     return k
 
 
-def reach(threshold: float) -> float:
-    """Further apart on one line than this a pair at the threshold is with a chance below 1e-6."""
-    return 5.0 * math.sqrt(2 - 2 * threshold)
+def tables(bits: int, threshold: float, miss: float = MISS) -> int:
+    """Tables of cells by so many signs that a pair at the threshold is in one cell of some table but for a chance of ``miss``."""
+    same = (1 - math.acos(threshold) / math.pi) ** bits
+    return 1 if same >= 1 else math.ceil(math.log(miss) / math.log(1 - same))
 
 
-def search(x: np.ndarray, own: np.ndarray, first: int, weight: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def cells(x: np.ndarray, bits: int, count: int) -> np.ndarray:
+    """The cell of each vector in each table."""
+    if not bits:
+        return np.zeros((len(x), count), np.int64)
+    lines = np.random.Generator(np.random.PCG64(29)).standard_normal((x.shape[1], bits * count))
+    return ((x @ lines > 0).reshape(len(x), count, bits) << np.arange(bits)).sum(2)
+
+
+def unit(lists: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows of norm 1."""
+    x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def search(x: np.ndarray, own: np.ndarray, first: int, weight: np.ndarray, threshold: float, earlier: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(links, root) of each unit vector of ``x``: the weight of the vectors linked to it, the least row of its group.
 
     ``own`` is 0 or 1, the block of each row; with ``first`` set only pairs across the two blocks count, which
-    then are all that is asked.
+    then are all that is asked.  Pairs with a value in common in a column of ``earlier`` count elsewhere.
     """
     n, least = len(x), least_count(threshold)
     at = x @ _lines(x.shape[1])
@@ -80,6 +99,8 @@ def search(x: np.ndarray, own: np.ndarray, first: int, weight: np.ndarray, thres
         near = np.flatnonzero(ok)
         if len(near):
             near = near[x[near] @ x[q] >= threshold]
+            if earlier is not None and len(near):
+                near = near[~(earlier[near] == earlier[q]).any(1)]
             links[q] += weight[near].sum()
             links[near] += weight[q]
             for o in np.unique(root[near]):
@@ -89,20 +110,35 @@ def search(x: np.ndarray, own: np.ndarray, first: int, weight: np.ndarray, thres
     return links, root
 
 
+def _deal(threshold: float):
+    """Adds each vector's cells, by the number of bits that its label takes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dim, bits = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("dim", "bits"))
+            for d, k in sorted(set(zip(dim.tolist(), bits.tolist(), strict=True))):
+                part = b.filter(pa.array((dim == d) & (bits == k)))
+                of = cells(unit(part.column(part.schema.get_field_index("embedding"))), k, tables(k, threshold))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(of) + 1) * of.shape[1], pa.int32()), pa.array(of.ravel(), pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "cells"])
+
+    return lean(run)
+
+
 def _task(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, _, i, j), t in groups(batches, ["label", "dim", "i", "j"]):
-            ids = np.array(t.column("rep").to_pylist(), np.int64)
-            x = np.array(t.column("embedding").to_pylist(), np.float64)
-            x /= np.abs(x).max(1, keepdims=True)
-            x /= np.sqrt((x * x).sum(1, keepdims=True))
+        for (_, _, at, _, i, j), t in groups(batches, ["label", "dim", "at", "cell", "i", "j"]):
+            ids = t.column("rep").to_numpy()
             by = np.argsort(ids, kind="stable")
-            own = (np.array(t.column("block").to_pylist()) == j).astype(np.int8)[by]
-            links, root = search(x[by], own, int(i != j), np.array(t.column("copies").to_pylist(), np.int64)[by], threshold)
+            x = unit(t.column("embedding").combine_chunks())[by]
+            own = (t.column("block").to_numpy() == j).astype(np.int8)[by]
+            earlier = np.array(t.column("cells").combine_chunks().flatten(), np.int64).reshape(len(ids), -1)[by, :at] if at else None
+            links, root = search(x, own, int(i != j), t.column("copies").to_numpy()[by], threshold, earlier)
             ids = ids[by]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root]), pa.array(links)], ["a", "b", "links"])
+            some = links > 0
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[root[some]]), pa.array(links[some])], ["a", "b", "links"])
 
-    return run
+    return lean(run)
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", block: int = BLOCK) -> DataFrame:
@@ -118,20 +154,21 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(good, value).alias("embedding"), F.when(good, F.col(label_col).cast("string")).alias("label"))
     reps = rows.where("embedding is not null").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     reps = stored(reps.withColumn("dim", F.size("embedding")))
-    line = F.aggregate(F.zip_with("embedding", F.slice(F.lit([float(v) for v in _first_line(4096)]), 1, F.col("dim")), lambda a, b: a * F.coalesce(b, F.lit(1.0))), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v))
-    placed = reps.where("rep is not null").withColumn("place", line / norm)
-    sizes = placed.groupBy("label", "dim").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.percentile_approx("place", [i / 256 for i in range(1, 256)], 10_000).alias("cuts"))
-    cuts = sizes.select("label", "dim", F.transform(F.sequence(F.lit(1), F.col("blocks")), lambda i: F.when(i < F.col("blocks"), F.element_at("cuts", F.greatest(F.lit(1), F.least(F.lit(255), (i * 256 / F.col("blocks")).cast("int"))))).otherwise(F.lit(float("inf")))).alias("ends"))
-    at = placed.join(cuts, ["label", "dim"]).withColumn("block", F.size(F.filter("ends", lambda e: e <= F.col("place"))))
-    at = stored(at.select("label", "dim", "rep", "copies", "embedding", "place", "block"))
-    spans = at.groupBy("label", "dim", "block").agg(F.min("place").alias("low"), F.max("place").alias("high"))
-    a, b = spans.select("label", "dim", F.col("block").alias("i"), F.col("high").alias("h1")), spans.select("label", "dim", F.col("block").alias("j"), F.col("low").alias("l2"))
-    meet = a.join(b, ["label", "dim"]).where((F.col("i") <= F.col("j")) & (F.col("l2") - F.col("h1") <= reach(threshold))).select("label", "dim", "i", "j")
-    sides = meet.select("label", "dim", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    order = ["label", "dim", "i", "j"]
-    dealt = at.join(sides, ["label", "dim", "block"]).select(*order, "block", "rep", "copies", "embedding").repartition(*order).sortWithinPartitions(*order)
-    found = stored(dealt.mapInArrow(_task(threshold), "a long, b long, links long"))
+    # So many signs that a cell of evenly spread vectors fills a block.
+    sizes = reps.where("rep is not null").groupBy("label", "dim").agg(F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / block))).cast("int").alias("bits"))
+    dealt = reps.where("rep is not null").join(sizes, ["label", "dim"]).select("label", "dim", "rep", "copies", "embedding", "bits")
+    held = stored(dealt.mapInArrow(_deal(threshold), "label string, dim int, rep long, copies long, embedding array<double>, bits int, cells array<long>"))
+    at = held.select("label", "dim", "rep", F.posexplode("cells").alias("at", "cell"))
+    cell = ["label", "dim", "at", "cell"]
+    full = at.groupBy(*cell).agg(F.count("*").alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
+    each = held.select("label", "dim", "rep", "copies", "embedding", "cells", F.posexplode("cells").alias("at", "cell")).join(full, cell)
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    met = each.withColumn("block", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    order = [*cell, "i", "j"]
+    met = met.select(*cell, F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "rep", "copies", "embedding", "cells")
+    met = met.repartition(*order).sortWithinPartitions(*order)
+    found = stored(met.mapInArrow(_task(threshold), "a long, b long, links long"))
+    discard(held)
     label = components(found.select("a", "b"))
     named = reps.join(found.groupBy("a").agg(F.sum("links").alias("links")), F.col("rep") == F.col("a"), "left").join(label, F.col("rep") == F.col("node"), "left")
     named = named.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
@@ -140,11 +177,6 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     return linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _first_line(dim: int) -> np.ndarray:
-    """A line of its own for the blocks, the same at every dimension."""
-    return np.random.Generator(np.random.PCG64(29)).standard_normal(dim)
-
-
 def op3_near_vectors(spark, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
