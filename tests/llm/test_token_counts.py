@@ -2,10 +2,11 @@ from __future__ import annotations
 
 import random
 
+import pytest
 import small
 from tokenizers import Tokenizer
 
-from skerry.llm import lexicon, token_counts
+from skerry.llm import lexicon, token_counts, transducer
 from skerry.llm.common import table
 
 PATH = lexicon.default_path()
@@ -22,35 +23,74 @@ def want(texts):
     return [len(e.ids) for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
-def test_odd_texts_and_mixtures():
+@pytest.fixture(scope="module")
+def machine():
+    return transducer.Transducer(PATH)
+
+
+def mixtures(n):
     rnd = random.Random(1)
-    texts = ODD + ["".join(rnd.choice(rnd.choice(ODD) or "x") for _ in range(rnd.randrange(60))) for _ in range(1500)] + [rnd.choice([" ", "", "\n"]).join(rnd.choices(ODD, k=4)) for _ in range(300)]
-    lex = lexicon.BlockLexicon(PATH, len, sum)
-    assert [token_counts.count_tokens(t, lex) for t in texts] == want(texts)
+    return ODD + ["".join(rnd.choice(rnd.choice(ODD) or "x") for _ in range(rnd.randrange(60))) for _ in range(n)] + [rnd.choice([" ", "", "\n"]).join(rnd.choices(ODD, k=4)) for _ in range(n // 5)]
 
 
-def test_chunks_compose_to_the_whole():
-    lex = lexicon.BlockLexicon(PATH, len, sum)
-    rnd = random.Random(2)
-    short = [x for x in ODD if not lex.whole(x) and len(x) < 100]
-    for text in (" ".join(rnd.choices(short, k=15)) for _ in range(10)):
-        for chunk in (1, 3, 17, 256):
-            assert token_counts.count_tokens(text, lex, chunk) == want([text])[0]
-    text = "ab c " + "q" * 5000 + " d"
-    assert token_counts.count_tokens(text, lex, 700) == want([text])[0]
+def test_odd_texts_and_mixtures(machine):
+    texts = mixtures(1500)
+    assert [token_counts.count_tokens(t, machine) for t in texts] == want(texts)
 
 
-def test_prefix_scan_gives_all_prefixes():
-    lex = lexicon.BlockLexicon(PATH, len, sum)
-    text = "some plain words here and there, longer ones notwithstanding"
-    maps = token_counts.scan([token_counts.chunk_map(text[i : i + 7], lex) for i in range(0, len(text), 7)], lex)
-    assert [token_counts.total(m, lex) for m in maps] == want([text[:i] for i in range(7, len(text) + 7, 7)])
+def test_by_characters_alone(machine):
+    """The composed machine itself, without transitions by words or blocks."""
+    texts = mixtures(300)
+    assert [machine.count(x) + n for x, n in map(machine.prepared, texts)] == want(texts)
 
 
-def test_generations_change_nothing(monkeypatch):
-    monkeypatch.setattr(lexicon, "MAX_TRANSITIONS", 5)
-    lex = lexicon.BlockLexicon(PATH, len, sum)
-    assert [token_counts.count_tokens(t, lex) for t in ODD] == want(ODD)
+def test_chunks_compose_to_the_whole(machine):
+    rnd = random.Random(2)
+    texts = [rnd.choice(["", " "]).join(rnd.choices(ODD, k=5)) for _ in range(40)] + ["ab c " + "q" * 5000 + " d", "a'll'ab'l'l!a''s 'll" * 20]
+    for chunk in (1, 2, 3, 7, 64, 700):
+        assert [token_counts.count_tokens(t, machine, chunk) for t in texts if len(t) < 300 or chunk > 9] == want([t for t in texts if len(t) < 300 or chunk > 9])
+
+
+def test_prefix_scan_gives_all_prefixes(machine):
+    text = "some plain words here and there, it's longer ones'll notwithstanding 42"
+    for n in (1, 3, 7):
+        maps = token_counts.scan([token_counts.chunk_map(text[i : i + n], machine) for i in range(0, len(text), n)], machine)
+        assert [token_counts.total(m, machine) for m in maps] == want([text[:i] for i in range(n, len(text) + n, n)])
+
+
+def test_merges_alone_give_the_same(machine):
+    """Byte-pair merging as it is defined, on pre-tokens, against last tokens that fit."""
+    m, rnd = machine.merges, random.Random(5)
+    name = {i: t for t, i in m.number.items()}
+    for _ in range(400):
+        word = "".join(rnd.choice(["a", "e", "n", "th", "in", "é", "s", "o", "日"]) for _ in range(rnd.randrange(1, 9)))
+        letters = machine._bytes(word)
+        parts = [m.number[x] for x in [*letters[:-1], letters[-1] + "\n"]]
+        while True:
+            best = min(((m.pair[p], i) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if p in m.pair), default=None)
+            if best is None:
+                break
+            parts[best[1] : best[1] + 2] = [best[0]]
+        assert machine.word(word) == len(parts), [name[p] for p in parts]
+
+
+def test_starting_anew_changes_nothing(monkeypatch):
+    for n in ("MAX_STATES", "MAX_PAIRS", "MAX_BLOCKS"):
+        monkeypatch.setattr(transducer, n, 6)
+    machine = transducer.Transducer(PATH)
+    assert [token_counts.count_tokens(t, machine) for t in ODD] == want(ODD)
+
+
+def test_other_files_are_an_error():
+    with pytest.raises(ValueError, match="only byte-pair files"):
+        transducer.Transducer(PATH.replace("word_bpe_49k", "byte_bpe_50k"))
+
+
+def test_chunk_rows_of_a_table(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    out = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, chunk=100).collect()}
+    rows = docs.collect()
+    assert [out[r.doc_id] for r in rows] == want([r.text or "" for r in rows])
 
 
 def test_whole_table(spark):
