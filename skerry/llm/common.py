@@ -52,6 +52,7 @@ def stored(df: DataFrame) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    _files(spark, path, "deleteOnExit")  # what is not discarded before goes with the application
     out = spark.read.schema(df.schema).parquet(path)
     out._skerry_path = path
     return out
@@ -61,9 +62,12 @@ def discard(df: DataFrame) -> None:
     """Deletes what :func:`stored` wrote, when nothing reads it any more."""
     path = getattr(df, "_skerry_path", None)
     if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _files(df.sparkSession, path, "delete", True)
+
+
+def _files(spark: SparkSession, path: str, call: str, *args) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    getattr(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), call)(p, *args)
 
 
 def lean(run: Callable) -> Callable:

@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, stored, table
+from .common import discard, fresh, stored, table
 
 BITS, LEVELS = 12, 5
 MAX_REPEATS = 3
+#: Sources whose sizes the driver holds.
+MAX_SOURCES = 1_000_000
 
 
 def n_words(text: Column) -> Column:
@@ -72,6 +74,7 @@ def hash_thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
         before = F.col("at.upto") - F.col("at.size")
         single = new & (F.col("at.low") == F.col("at.high"))
         nearer = F.col("at.upto") - F.col("budget") < F.col("budget") - before
+        last = now
         now = stored(
             found.select(
                 "s",
@@ -83,41 +86,65 @@ def hash_thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
                 F.when(single, F.col("at.low") + nearer.cast("long")).otherwise(F.col("threshold")).alias("threshold"),
             )
         )
+        discard(last)
         if now.where("not done").isEmpty():
             break
     return now.select(F.col("s").alias("source"), "budget_id", "threshold")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source_size, target, taken.
+def _sizes(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
+    return stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), doc_hash(F.col(id_col)).alias("hash")))
 
-    A source whose target is q times its size and a rest takes each document q times, and once more those below
-    the hash threshold of the rest.  Null texts have size 0, null sources are one source, rows with one id go
-    together, a source without words has target 0, an empty table gives an empty result.
-    """
-    spark = docs.sparkSession
-    sizes = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), doc_hash(F.col(id_col)).alias("hash")))
-    sums = [(r.source, r.n) for r in sizes.groupBy("source").agg(F.sum("size").alias("n")).collect()]  # a row per source
+
+def _plan(sizes: DataFrame, weights: tuple[int, ...]) -> DataFrame:
+    """(s, source_size, target, whole, rest, threshold): how often each source's documents are taken, a row per source."""
+    spark = sizes.sparkSession
+    by_source = stored(sizes.groupBy("source").agg(F.sum("size").alias("n")))
+    if by_source.count() > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES:,} sources: their targets are worked out on the driver; map them to fewer")
+    sums = [(r.source, r.n) for r in by_source.collect()]
+    discard(by_source)
     goal = targets(sums, weights)
     schema = T.StructType([T.StructField("s", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("whole", T.LongType()), T.StructField("rest", T.DoubleType())])
     rows = [(s, n, float(goal[s]), q := int(goal[s] // n) if n else 0, float(goal[s] - q * n) if n else 0.0) for s, n in sums]
     plan = spark.createDataFrame(rows, schema)
     cut = hash_thresholds(sizes, plan.select(F.col("s").alias("source"), F.lit(0).alias("budget_id"), F.col("rest").alias("budget")))
-    plan = stored(plan.join(cut.select(F.col("source").alias("s2"), "threshold"), F.col("s").eqNullSafe(F.col("s2")), "left").drop("s2"))
-    out = sizes.join(plan, F.col("source").eqNullSafe(F.col("s")))
-    taken = F.col("size") * (F.col("whole") + F.when((F.col("rest") > 0) & (F.col("hash") < F.col("threshold")), 1).otherwise(0))
-    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return stored(plan.join(cut.select(F.col("source").alias("s2"), "threshold"), F.col("s").eqNullSafe(F.col("s2")), "left").drop("s2"))
+
+
+def _times(hash_: Column) -> Column:
+    return F.col("whole") + F.when((F.col("rest") > 0) & (hash_ < F.col("threshold")), 1).otherwise(0)
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, size, source_size, target, taken.
+
+    A source whose target is q times its size and a rest takes each document q times, and once more those below
+    the hash threshold of the rest.  Null texts have size 0, null sources are one source, rows of a source with one id
+    go together, a source without words has target 0, an empty table gives an empty result.  More than ``MAX_SOURCES``
+    sources are an error.
+    """
+    sizes = _sizes(docs, id_col, source_col, text_col)
+    out = sizes.join(_plan(sizes, weights), F.col("source").eqNullSafe(F.col("s")))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * _times(F.col("hash"))).alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The mix itself: the rows of ``docs``, with its columns, each as often as :func:`mix` takes it."""
-    a, times = fresh(docs, "mix_id", "mix_times")
-    plan = mix(docs, weights, id_col, source_col, text_col).where("taken > 0").select(F.col("doc_id").alias(a), F.col("size").alias("mix_n"), (F.col("taken") / F.col("size")).cast("int").alias(times)).distinct()
-    b, size = fresh(docs, "mix_n", "mix_size")
-    plan = plan.withColumnRenamed("mix_n", b)
-    rows = docs.withColumn(size, n_words(F.col(text_col)))
-    # the size is part of the key: rows with one id but other texts stay apart
-    return rows.join(plan, F.col(id_col).eqNullSafe(F.col(a)) & (F.col(size) == F.col(b))).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
+    """The mix itself: the rows of ``docs``, with its columns, each as often as :func:`mix` takes it.
+
+    A filter on the source's threshold and the id's hash: documents are neither shuffled nor sorted.  Texts without
+    words have nothing to take and are left out.
+    """
+    sizes = _sizes(docs, id_col, source_col, text_col)
+    plan = _plan(sizes, weights)
+    discard(sizes)
+    names = fresh(docs, "s", "whole", "rest", "threshold", "mix_time")
+    plan = plan.select(F.col("s").alias(names[0]), F.struct("whole", "rest", "threshold").alias(names[1]))
+    due = F.col(names[1])
+    times = due["whole"] + F.when((due["rest"] > 0) & (doc_hash(F.col(id_col)) < due["threshold"]), 1).otherwise(0)
+    rows = docs.join(plan, F.col(source_col).cast("string").eqNullSafe(F.col(names[0])))
+    some = rows.where(F.coalesce(F.col(text_col).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")).where(times > 0)
+    return some.withColumn(names[4], F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*docs.columns)
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:

@@ -71,3 +71,29 @@ def test_mixed_repeats_rows(spark):
     for r in mixing.mixed(docs).collect():
         seen[r.doc_id] = seen.get(r.doc_id, 0) + 1
     assert seen == {i: n for i, n in taken.items() if n} and max(seen.values()) == 3
+
+
+def test_one_id_in_two_sources(spark):
+    """Rows of one id and size in sources that are due differently often."""
+    rows = [(1, "a b c", "a"), (1, "a b c", "b"), (1, "a b c", "b")] + [(i, "x y z", s) for i in range(2, 60) for s in ("a", "b", "b", None)]
+    docs = small.documents(spark, rows)
+    want: dict = {}
+    sources = {}
+    for r in small.rows(mixing.mix(docs.where("source = 'a'").unionByName(docs.where("source = 'b' or source is null")))):
+        want[r["doc_id"]] = want.get(r["doc_id"], 0) + r["taken"] // 3
+    seen: dict = {}
+    for r in mixing.mixed(docs).collect():
+        seen[r.doc_id] = seen.get(r.doc_id, 0) + 1
+        sources.setdefault(r.doc_id, set()).add(r.source)
+    assert seen == {i: n for i, n in want.items() if n}
+
+
+def test_mixed_does_not_shuffle_documents(spark):
+    plan = mixing.mixed(small.documents(spark, [(i, f"w{i}", "ab"[i % 2]) for i in range(100)]))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Sort" not in plan
+
+
+def test_too_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 3)
+    with pytest.raises(ValueError, match="more than 3 sources"):
+        mixing.mix(small.documents(spark, [(i, "x", f"s{i}") for i in range(5)]))
