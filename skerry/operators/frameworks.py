@@ -20,7 +20,7 @@ def _ext(c: str = "path"):
 
 def dependency_signals(files: DataFrame) -> DataFrame:
     """From the first package.json of each project; a dev dependency overrides a dependency of its name."""
-    dim = files.sparkSession.createDataFrame([(d, f, w) for d, (f, w) in dims.DEPENDENCY_SIGNS.items()], "dep string, framework string, weight double")
+    dim = files.sparkSession.createDataFrame(dims.DEPENDENCY_SIGNS, "dep string, framework string, weight double")
     one = files.where(_base() == "package.json").withColumn("rn", F.row_number().over(Window.partitionBy("project").orderBy("ord", "path"))).where("rn = 1")
     kind = "map<string,string>"
     j = one.select("project", F.from_json("content", f"dependencies {kind}, devDependencies {kind}").alias("j"))
