@@ -127,16 +127,6 @@ def _(spark, d):
     return _parsed(spark, d).select("url", F.explode("links").alias("link")).where("link <> ''").distinct()
 
 
-@query("page_forms")
-def _(spark, d):
-    return html.parse(spark.createDataFrame(fixtures.PAGES, "url string, body string")).select("url", F.explode("forms").alias("f")).select("url", "f.action", "f.method", F.size("f.inputs").alias("n_inputs"))
-
-
-@query("page_assets")
-def _(spark, d):
-    return html.assets(html.parse(spark.createDataFrame(fixtures.PAGES, "url string, body string")))
-
-
 @query("page_route", "select page_id, case when page_id % 4 = 0 then 'html' when page_id % 4 = 1 then 'css' when page_id % 4 = 2 then 'js' else 'json' end as kind from pages")
 def _(spark, d):
     t = F.element_at(F.array(*map(F.lit, ("text/html; charset=utf-8", "text/css", "application/javascript", "application/json"))), (F.col("page_id") % 4 + 1).cast("int"))
@@ -153,12 +143,6 @@ def _(spark, d):
     return _parsed(spark, d).select("url", F.explode("inline_scripts").alias("script"))
 
 
-@query("js_scan", None)
-def _(spark, d):
-    scripts = _parsed(spark, d).select(F.col("url").alias("file"), F.explode("inline_scripts").alias("text"))
-    return scripts.select("file", js.scan(F.col("text")).alias("s")).select("file", "s.*")
-
-
 _Q = r"""['"]([^'"]+)['"]"""
 _SCRIPTS = _values(fixtures.SCRIPTS, "file, text")
 
@@ -217,11 +201,6 @@ def _(spark, d):
     return scope.list_entries(rows, "w1").select("entry_type", "pattern")
 
 
-@query("robots_rules")
-def _(spark, d):
-    return scope.robots_rules(spark.createDataFrame(fixtures.ROBOTS, "host string, body string"))
-
-
 @query("robots_allowed", r"""with p as (select url, regexp_extract(url, '://([^/?#]*)', 1) as host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) as path from pages),
 r as (select url, max(case when k = 'd' and starts_with(path, x) then length(x) end) as ban, max(case when k = 'a' and starts_with(path, x) then length(x) end) as ok
       from p, (values ('d', '/en/'), ('a', '/en/7'), ('d', '/fr/8'), ('a', '/fr/8')) v(k, x) where host like '%.example.com' group by url)
@@ -233,11 +212,6 @@ def _(spark, d):
     return scope.robots_allowed(pages, scope.robots_rules(hosts.withColumn("body", F.lit(body))))
 
 
-@query("sitemap_urls")
-def _(spark, d):
-    return scope.sitemap_urls(spark.createDataFrame(fixtures.SITEMAPS, "base string, priority int, body string"))
-
-
 _GRID = "grid as (select 'https://s' || n_regionkey || '.test' as src, 'https://s' || n_regionkey || '.test/n' || n_nationkey as dst from nation union all select 'https://s' || (n_nationkey % 5) || '.test/n' || n_nationkey, 'https://s' || ((n_nationkey + 1) % 5) || '.test' from nation)"
 
 
@@ -261,16 +235,6 @@ def _(spark, d):
     return crawl.stats(o.select(F.array_repeat(F.lit(1), (k % 4).cast("int")).alias("links"), F.array_repeat(F.lit(1), (k % 3).cast("int")).alias("assets"), F.when(F.col("o_orderstatus") == "P", "x").alias("error"), F.length("o_orderpriority").cast("long").alias("size")))
 
 
-@query("token_bucket")
-def _(spark, d):
-    return crawl.token_bucket(files.table(spark, d, "events").select(F.col("user_id").alias("key"), "event_id", "ts"), 0.001, 2)
-
-
-@query("ttl_cache_hits")
-def _(spark, d):
-    return crawl.cache_hits(files.table(spark, d, "events").select(F.col("event_type").alias("key"), "event_id", "ts"), 3600.0)
-
-
 @query("first_response", "with q as (select event_type as url, event_id as seq, row_number() over (partition by event_type order by event_id) as k from events), r as (select event_type as url, status, row_number() over (partition by event_type order by event_id) as k from (select *, cast(200 + event_id % 3 as int) as status from events where event_id % 2 = 0)) select q.url, q.seq, r.status as got_status from q left join r on q.url = r.url and q.k = r.k")
 def _(spark, d):
     e = files.table(spark, d, "events").select(F.col("event_type").alias("url"), F.col("event_id").alias("seq"))
@@ -326,11 +290,6 @@ def _(spark, d):
     return secrets.scan(spark.createDataFrame(fixtures.SECRETS, "text string, source string"))
 
 
-@query("secret_runtime")
-def _(spark, d):
-    return secrets.scan_runtime(fixtures.runtime(spark))
-
-
 @query("text_entropy", "select p_partkey, round(-list_sum(list_transform(list_distinct(string_split(p_name, '')), lambda c: len(list_filter(string_split(p_name, ''), lambda x: x = c)) / strlen(p_name) * log2(len(list_filter(string_split(p_name, ''), lambda x: x = c)) / strlen(p_name)))), 6) as entropy from part")
 def _(spark, d):
     return files.table(spark, d, "part").select("p_partkey", F.round(T.entropy(F.col("p_name")), 6).alias("entropy"))
@@ -404,11 +363,6 @@ def _(spark, d):
     return deps.packages(m).select(F.split_part("path", F.lit("/"), F.lit(1)).cast("bigint").alias("p_partkey"), "name", "version")
 
 
-@query("manifest_ecosystem")
-def _(spark, d):
-    return deps.ecosystem(spark.createDataFrame(fixtures.MANIFESTS, "path string, content string"))
-
-
 # Authentication
 
 
@@ -420,41 +374,16 @@ def _(spark, d):
     return A.auth_endpoints(_requests(spark, d)).select("page", "url", "method", "endpoint_type")
 
 
-@query("oauth_flows")
-def _(spark, d):
-    return A.oauth_flows(A.requests_of(fixtures.runtime(spark)))
-
-
-@query("refresh_flows")
-def _(spark, d):
-    return A.refresh_flows(A.requests_of(fixtures.runtime(spark)))
-
-
 @query("jwt_decode", "select * from (values ('RS256', 'access', 'user123', 'https://issuer.example')) v(algorithm, token_type, subject, issuer)")
 def _(spark, d):
     return spark.createDataFrame([(fixtures.TOKEN,)], "t string").select(A.jwt(F.col("t")).alias("j")).select("j.algorithm", "j.token_type", "j.subject", "j.issuer")
 
 
-@query("auth_jwts")
-def _(spark, d):
-    return A.jwts(fixtures.runtime(spark)).select("page", "source", "location", "algorithm", "token_type", "subject")
-
-
 @query("auth_cookies", "select * from (values ('sessionid', 'session', false), ('my_refresh_token', 'refresh', false), ('theme', 'unknown', false), ('jwt', 'access', true)) v(name, token_type, suspicious)")
 def _(spark, d):
     return A.auth_cookies(fixtures.runtime(spark)).select("name", "token_type", "suspicious")
 
 
-@query("storage_tokens")
-def _(spark, d):
-    return A.storage_tokens(fixtures.runtime(spark))
-
-
-@query("auth_flows")
-def _(spark, d):
-    return A.flows(fixtures.runtime(spark)).select("page", "name", F.size("steps").alias("n_steps"), "steps")
-
-
 @query("auth_diagram")
 def _(spark, d):
     return A.diagram(fixtures.runtime(spark))
@@ -516,9 +445,14 @@ def _(spark, d):
     return scoring.score(items).select("id", F.col("source").alias("affected_package"), "score")
 
 
-@query("score_secrets", _secret_sql("select secret_type || ':' || match as id, count(*) as n").replace("where rn = 1", "where rn = 1 group by 1"))
+_SECRET_SCORE = """round(case when contains(key || ': ' || match, 'token') then 1.0 else 0.5 end + case when contains(key || ': ' || match, 'graphql') then 0.8 else 0 end
+  + case when secret_type in ('aws', 'gcp', 'azure', 'private_key', 'password', 'jwt', 'oauth', 'token', 'connection_string') then 1.0 when provider in ('AWS', 'Azure', 'GitHub') then 0.7 else 0 end
+  + case when secret_type = 'private_key' then 1.0 else severity / 4.0 end + 0.5, 6)"""
+
+
+@query("score_secrets", _secret_sql(f"select secret_type || ':' || match as id, cast({_SECRET_SCORE} as double) as score, count(*) as n").replace("where rn = 1", "where rn = 1 group by 1, 2"))
 def _(spark, d):
-    return scoring.score(scoring.of_secrets(_doc_findings(spark, d))).groupBy("id").agg(F.count("*").alias("n"))
+    return scoring.score(scoring.of_secrets(_doc_findings(spark, d))).groupBy("id", "score").agg(F.count("*").alias("n"))
 
 
 @query("rank_union")
@@ -627,19 +561,14 @@ def _(spark, d):
     return graph.stats(g.nodes, g.edges)
 
 
-@query("score_graph", f"with {_REQUESTS}, n as (select distinct 'page::' || page as id, 'page' as t, page as u, '' as method from req union select distinct 'api::' || method || '::' || url, 'api_endpoint', url, method from req) select id, t as item_type from n")
+@query("score_graph", f"with {_SCORES} select distinct 'api::' || replace(label, ' ', '::') as id, 'api_endpoint' as item_type, score from p union all select distinct 'page::' || page, 'page', 0.5::double from req")
 def _(spark, d):
-    return scoring.score(scoring.of_nodes(_request_graph(spark, d).nodes)).select("id", "item_type")
+    return scoring.score(scoring.of_nodes(_request_graph(spark, d).nodes)).select("id", "item_type", "score")
 
 
 # Frameworks
 
 
-@query("framework_signals")
-def _(spark, d):
-    return frameworks.signals(spark.createDataFrame(fixtures.FILES, "project string, path string, content string, ord int"))
-
-
 @query("framework_confidence", "select * from " + _values(fixtures.EXPECTED_FRAMEWORKS, "project, framework, confidence"))
 def _(spark, d):
     return frameworks.detect(spark.createDataFrame(fixtures.FILES, "project string, path string, content string, ord int")).select("project", "framework", F.col("confidence").cast("decimal(3,2)").alias("confidence"))
@@ -663,61 +592,25 @@ def _(spark, d):
     return js_relations.imports(js_relations.tree(fixtures.modules(spark))).select("file", "source", "imported", "local", "is_default", "is_namespace")
 
 
-@query("js_exports")
-def _(spark, d):
-    return js_relations.exports(js_relations.tree(fixtures.modules(spark)))
-
-
 @query("js_callgraph", "select * from " + _values(fixtures.EXPECTED_CALLS, "file, caller, callee"))
 def _(spark, d):
     return js_relations.call_edges(js_relations.tree(fixtures.modules(spark)))
 
 
-@query("js_depgraph")
-def _(spark, d):
-    return js_relations.dep_edges(js_relations.tree(fixtures.modules(spark)))
-
-
-@query("js_templates")
-def _(spark, d):
-    return js_relations.templates(js_relations.tree(fixtures.modules(spark)))
-
-
-@query("js_scopes")
-def _(spark, d):
-    return js_relations.symbols(js_relations.tree(fixtures.modules(spark)))
-
-
 # Sinks, workspaces
 
 
-@query("export_json", f"with {_REQUESTS} select count(*) as n from (select distinct page as x from req union all select distinct method || url from req)")
+@query("export_json", f"with {_REQUESTS}, n as (select distinct 'page' as type, 'page::' || page as id, page as label from req union select distinct 'api_endpoint', 'api::' || method || '::' || url, method || ' ' || url from req) select '{{\"kind\":\"node\",\"id\":\"' || id || '\",\"type\":\"' || type || '\",\"label\":\"' || label || '\"' as line, count(*) as n from n group by 1 union all select '{{\"kind\":\"edge\",\"id\":\"page::' || page || '->api::' || method || '::' || url || ':calls\",\"type\":\"calls\",\"source\":\"page::' || page || '\",\"target\":\"api::' || method || '::' || url || '\",\"label\":\"' || method || ' fetch\"', count(*) from req group by 1")
 def _(spark, d):
     g = _request_graph(spark, d)
-    return graph.to_json(g.nodes, g.edges).where("line like '{\"kind\":\"node\"%'").agg(F.count("*").alias("n"))
+    return graph.to_json(g.nodes, g.edges).groupBy(F.regexp_replace("line", ',"properties":.*$', "").alias("line")).agg(F.count("*").alias("n"))
 
 
-@query("export_dot", f"with {_NATION} select '  \"' || s || '\" -> \"' || t || '\" [label=\"x\"];' as line from e")
+@query("export_dot", f"with {_NATION} select 2 as part, '  \"' || s || '\" -> \"' || t || '\" [label=\"references\", fontsize=8];' as line from e union all select 1, '  \"n' || n_nationkey || '\" [label=\"page\\\\n' || n_name || '\", color=\"#4A90D9\", fontsize=10];' from nation union all select * from (values (0, 'digraph G {{'), (0, '  rankdir=LR;'), (0, '  node [shape=box, style=rounded];'), (3, '}}')) v(part, line)")
 def _(spark, d):
     e = _nation_edges(spark, d).select(F.concat("source", F.lit("->"), "target").alias("id"), F.lit("references").alias("type"), "source", "target", F.lit("x").alias("label"))
-    n = spark.createDataFrame([], "id string, type string, label string")
-    return graph.to_dot(n, e).where("part = 2").select("line")
-
-
-@query("report_graph", None)
-def _(spark, d):
-    g = _request_graph(spark, d)
-    return sinks.graph_text(g.nodes, g.edges)
-
-
-@query("report_rank", None)
-def _(spark, d):
-    return sinks.rank_text(scoring.top(_scored(spark, d).dropDuplicates(["id"]), 20))
-
-
-@query("report_deps", None)
-def _(spark, d):
-    return sinks.deps_text(_deps(spark, d), _vulns(spark, d))
+    n = files.table(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.lit("page").alias("type"), F.col("n_name").alias("label"))
+    return graph.to_dot(n, e).select("part", "line")
 
 
 @query("workspace_hash", "select c_custkey, sha256('w' || c_custkey || '|' || c_name || '|' || c_mktsegment || '|/w|1') as hash from customer")
@@ -733,6 +626,9 @@ def _(spark, d):
     return workspace.difference(o.where("o_orderkey % 10 <> 1"), new, ["o_orderkey"])
 
 
+from skerry import catalogue_tables  # noqa: E402, F401  registers more queries
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

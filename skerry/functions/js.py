@@ -42,7 +42,7 @@ def vite_assets(text: Column) -> Column:
 def source_maps(text: Column) -> Column:
     """Structs (url, inline, inline_data); a data URI is inline, its payload what follows ``base64,``."""
     line, block = _all(text, r"(?m)^[ \t]*//[#@]\s*sourceMappingURL=(.+)$"), _all(text, r"/\*\s*[#@]\s*sourceMappingURL=(.+?)\s*\*/")
-    found = F.array_distinct(F.transform(F.concat(line, block), F.trim))
+    found = F.array_distinct(F.transform(F.concat(line, block), lambda u: F.trim(u)))  # F.trim itself would take the index as letters to trim
     inline = lambda u: u.startswith("data:")
     return F.transform(found, lambda u: F.struct(u.alias("url"), inline(u).alias("inline"), F.when(inline(u), F.regexp_extract(u, "base64,(.*)$", 1)).otherwise("").alias("inline_data")))
 

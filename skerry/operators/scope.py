@@ -183,6 +183,6 @@ def robots_allowed(pages: DataFrame, rules: DataFrame) -> DataFrame:
 
 def sitemap_urls(sitemaps: DataFrame) -> DataFrame:
     """(base, loc) of the first of a base's sitemaps, by priority, that has locations; (base, priority, body) come in."""
-    locs = F.filter(F.transform(F.regexp_extract_all("body", F.lit(r"(?s)<loc>\s*(.*?)\s*</loc>"), 1), F.trim), lambda x: x != "")
+    locs = F.filter(F.transform(F.regexp_extract_all("body", F.lit(r"(?s)<loc>\s*(.*?)\s*</loc>"), 1), lambda x: F.trim(x)), lambda x: x != "")
     full = sitemaps.withColumn("locs", locs).where(F.size("locs") > 0)
     return full.withColumn("rn", F.row_number().over(Window.partitionBy("base").orderBy("priority"))).where("rn = 1").select("base", F.explode("locs").alias("loc"))
