@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
@@ -24,14 +25,32 @@ FIXED = ("content-length", "content-encoding", "content-type", "content-range",
 SPAN = 6 * 3600
 
 
+#: Letters that need no percent sign in a URL (RFC 3986, 2.3).
+_UNRESERVED = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~"
+
+
+def _decoded(text: Column) -> Column:
+    """Percent-encoded letters that need not be are decoded, the hexadecimal digits of others in upper case."""
+    plain = F.create_map(*[F.lit(x) for c in _UNRESERVED for x in (f"{ord(c):02X}", c)])
+
+    def part(x: Column, i: Column) -> Column:
+        code = F.upper(F.substring(x, 1, 2))
+        rest = F.substring(x, 3, 1 << 30)
+        return F.when(i == 0, x).when(~code.rlike("^[0-9A-F]{2}$"), F.concat(F.lit("%"), x)).otherwise(F.concat(F.coalesce(F.try_element_at(plain, code), F.concat(F.lit("%"), code)), rest))
+
+    return F.when(F.instr(text, "%") > 0, F.array_join(F.transform(F.split(text, "%"), part), "")).otherwise(text)
+
+
 def canonical(url: Column) -> Column:
-    """Scheme and host in lower case, no ``www.``, default port, fragment, tracking fields or final slash; query fields sorted.
+    """Scheme and host in lower case, no ``www.``, no port that is the scheme's own, no fragment, tracking fields or final slash; query fields sorted.
 
-    http and https are one; null and texts without ``://`` stay as they are.
+    http and https are one; percent-encoding is normalised; null and texts without ``://`` stay as they are.
     """
-    host = F.regexp_replace(F.lower(F.regexp_extract(url, r"^[^:/?#]+://([^/?#]*)", 1)), r"^www\.|:(80|443)$", "")
-    path = F.regexp_replace(F.regexp_extract(url, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1), "/+$", "")
-    fields = F.filter(F.split(F.regexp_extract(url, r"^[^:/?#]+://[^?#]*\?([^#]*)", 1), "&"), lambda f: (f != "") & ~f.rlike("^(utm_[a-z]+|ref|gclid|fbclid)(=|$)"))
+    scheme = F.lower(F.regexp_extract(url, r"^([^:/?#]+)://", 1))
+    host = F.regexp_replace(F.lower(F.regexp_extract(url, r"^[^:/?#]+://([^/?#]*)", 1)), r"^www\.", "")
+    host = F.when(scheme == "http", F.regexp_replace(host, r":80$", "")).when(scheme == "https", F.regexp_replace(host, r":443$", "")).otherwise(host)
+    path = F.regexp_replace(_decoded(F.regexp_extract(url, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)), "/+$", "")
+    fields = F.filter(F.split(_decoded(F.regexp_extract(url, r"^[^:/?#]+://[^?#]*\?([^#]*)", 1)), "&"), lambda f: (f != "") & ~f.rlike("^(utm_[a-z]+|ref|gclid|fbclid)(=|$)"))
     query = F.array_join(F.array_sort(fields), "&")
     return F.when(url.rlike("^[^:/?#]+://"), F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))).otherwise(url)
 
@@ -40,12 +59,33 @@ def _weak(tag: Column) -> Column:
     return F.regexp_replace(tag, "^W/", "")
 
 
+_PAIRS = "array<struct<key:string,value:string>>"
+
+
+def _pairs(records: DataFrame) -> Column:
+    """The headers, a list of (name, value) in its order or a map in that of its names, as a list; those without a name are left out."""
+    if isinstance(records.schema["headers"].dataType, T.MapType):
+        return F.array_sort(F.map_entries("headers").cast(_PAIRS))
+    return F.filter(F.col("headers").cast(_PAIRS), lambda e: e["key"].isNotNull())
+
+
+def _folded(headers: Column) -> Column:
+    """(k, v) of the headers by name in lower case; fields of one name are joined by commas in their order (RFC 9110, 5.2), nulls left out."""
+    pairs = F.coalesce(headers, F.array().cast(_PAIRS))
+    names = F.array_distinct(F.transform(pairs, lambda e: F.lower(e["key"])))
+
+    def of(k: Column) -> Column:
+        values = F.filter(F.transform(F.filter(pairs, lambda e: F.lower(e["key"]) == k), lambda e: e["value"]), lambda v: v.isNotNull())
+        return F.struct(k.alias("k"), F.when(F.size(values) > 0, F.array_join(values, ", ")).alias("v"))
+
+    return F.transform(names, of)
+
+
 def merged(stored: Column, new: Column) -> Column:
     """Stored headers with the permitted new ones in their place; names in lower case, sorted."""
-    low = lambda m: F.transform_keys(F.coalesce(m, F.create_map().cast("map<string,string>")), lambda k, _: F.lower(k))
-    allowed = F.map_filter(low(new), lambda k, v: ~k.isin(*FIXED) & v.isNotNull())
-    kept = F.map_filter(low(stored), lambda k, v: ~F.map_contains_key(allowed, k))
-    return F.map_from_entries(F.array_sort(F.map_entries(F.map_concat(kept, allowed))))
+    allowed = F.filter(_folded(new), lambda e: ~e["k"].isin(*FIXED) & e["v"].isNotNull())
+    kept = F.filter(_folded(stored), lambda e: ~F.exists(allowed, lambda a: a["k"] == e["k"]))
+    return F.map_from_entries(F.array_sort(F.concat(kept, allowed)))
 
 
 def resolve(records: DataFrame, span: int = SPAN) -> DataFrame:
@@ -54,21 +94,23 @@ def resolve(records: DataFrame, span: int = SPAN) -> DataFrame:
     ``records`` has record_id, url, ts (timestamp), kind (response or revisit), etag, last_modified, headers
     (map of strings) and body; other columns are ignored.  Records without time or URL resolve nothing and are, as
     revisits, orphans.  Validators are the entity tag, weak and strong ones being equal, and Last-Modified as text.
-    Header names that differ only in case must not repeat within a record.
+    Header names that differ only in case are one field.  Responses are told apart by their content where their ids are
+    null or repeat: of those of one time, URL and id one is taken, the same on every run.
     """
-    rows = records.select("record_id", canonical(F.col("url")).alias("url_key"), "ts", "kind", "etag", "last_modified", "headers", "body", F.floor(F.unix_micros("ts") / (span * 1_000_000)).alias("span"))
-    full = rows.where("kind = 'response' and ts is not null and url_key is not null")
-    mark = F.struct("ts", "record_id", "etag", "last_modified")
+    rows = records.select("record_id", canonical(F.col("url")).alias("url_key"), "ts", "kind", "etag", "last_modified", _pairs(records).alias("headers"), "body", F.floor(F.unix_micros("ts") / (span * 1_000_000)).alias("span"))
+    content = F.xxhash64("url_key", "ts", "record_id", "etag", "last_modified", "body", F.to_json("headers"))
+    full = rows.where("kind = 'response' and ts is not null and url_key is not null").withColumn("content", content)
+    mark = F.struct("ts", "record_id", "content", "etag", "last_modified")
     # Which response is the latest needs no bodies: those come by the response's id afterwards.
     last = full.groupBy("url_key", "span").agg(F.max(mark).alias("latest"))
     spans = rows.where("kind = 'revisit' and ts is not null and url_key is not null").select("url_key", "span").distinct().join(last, ["url_key", "span"], "full_outer")
     ahead = Window.partitionBy("url_key").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)  # a row per span
     carried = spans.select("url_key", "span", F.last("latest", ignorenulls=True).over(ahead).alias("carried"))
-    events = full.select("url_key", "span", "ts", mark.alias("full"), F.lit(None).cast("bigint").alias("record_id"), "etag", "last_modified", F.lit(None).cast("map<string,string>").alias("headers"))
+    events = full.select("url_key", "span", "ts", mark.alias("full"), F.lit(None).cast("bigint").alias("record_id"), "etag", "last_modified", F.lit(None).cast(_PAIRS).alias("headers"))
     asks = rows.where("kind = 'revisit'").select("url_key", "span", "ts", F.lit(None).cast(events.schema["full"].dataType).alias("full"), "record_id", "etag", "last_modified", "headers")
     good = asks.where("ts is not null and url_key is not null")
     seen = events.unionByName(good)
-    order = Window.partitionBy("url_key", "span").orderBy("ts", F.col("full").isNotNull(), F.col("full.record_id")).rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("url_key", "span").orderBy("ts", F.col("full").isNotNull(), F.col("full.record_id"), F.col("full.content")).rowsBetween(Window.unboundedPreceding, -1)
     # Revisits sort before the responses of their own time: strictly earlier ones only
     near = seen.withColumn("here", F.last("full", ignorenulls=True).over(order)).where("full is null")
     found = near.join(carried, ["url_key", "span"]).withColumn("target", F.coalesce("here", "carried")).select("record_id", "url_key", "etag", "last_modified", "headers", "target")
@@ -77,12 +119,13 @@ def resolve(records: DataFrame, span: int = SPAN) -> DataFrame:
     tag = _weak(F.col("etag")) == _weak(F.col("target.etag"))
     date = F.col("last_modified") == F.col("target.last_modified")
     state = F.when(F.col("target").isNull(), "orphan").when((~F.coalesce(tag, F.lit(True))) | (~F.coalesce(date, F.lit(True))), "mismatched").when(F.coalesce(tag, date).isNotNull(), "matched").otherwise("unchecked")
-    asked = asked.select("record_id", "url_key", "headers", state.alias("state"), F.col("target.record_id").alias("target_id"), F.col("target.ts").alias("target_ts"))
-    source = full.select(F.col("record_id").alias("source_id"), F.col("headers").alias("source_headers"), F.col("body").alias("source_body"))
-    source = source.dropDuplicates(["source_id"])
+    asked = asked.select("record_id", "url_key", "headers", state.alias("state"), F.col("target.record_id").alias("target_id"), F.col("target.ts").alias("target_ts"), F.col("target.content").alias("content"))
+    source = full.select(F.col("content").alias("c"), F.col("url_key").alias("u"), F.col("ts").alias("t"), F.col("record_id").alias("r"), F.col("headers").alias("source_headers"), F.col("body").alias("source_body"))
+    source = source.dropDuplicates(["c", "u", "t", "r"])
     usable = F.col("state").isin("matched", "unchecked")
-    out = asked.join(source, usable & (F.col("target_id") == F.col("source_id")), "left")
-    return out.select("record_id", "url_key", "state", "target_id", "target_ts", F.when(usable, F.col("source_body")).alias("body"), F.when(usable, merged(F.col("source_headers"), F.col("headers"))).otherwise(merged(F.lit(None).cast("map<string,string>"), F.col("headers"))).alias("headers"))
+    own = (F.col("content") == F.col("c")) & (F.col("url_key") == F.col("u")) & (F.col("target_ts") == F.col("t")) & F.col("target_id").eqNullSafe(F.col("r"))
+    out = asked.join(source, usable & own, "left")
+    return out.select("record_id", "url_key", "state", "target_id", "target_ts", F.when(usable, F.col("source_body")).alias("body"), F.when(usable, merged(F.col("source_headers"), F.col("headers"))).otherwise(merged(F.lit(None).cast(_PAIRS), F.col("headers"))).alias("headers"))
 
 
 def captures(pages: DataFrame) -> DataFrame:
@@ -117,7 +160,8 @@ SQL = r"""
 with p as (
   select page_id, html, 1700000000 + page_id % 997 * 3600 + page_id // 997 as t,
          '"' || substr(md5(html), 1, 12) || '"' as tag,
-         regexp_replace(lower(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)), '^www\.|:(80|443)$', '', 'g')
+         regexp_replace(regexp_replace(lower(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)), '^www\.', ''),
+                        case when lower(url) like 'https:%' then ':443$' else ':80$' end, '')
          || regexp_replace(regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1), '/+$', '')
          || case when len(f) > 0 then '?' || array_to_string(list_sort(f), '&') else '' end as url_key
   from (select *, list_filter(string_split(regexp_extract(url, '^[^:/?#]+://[^?#]*\?([^#]*)', 1), '&'),

@@ -55,3 +55,29 @@ def test_awkward_rows(spark):
     got = sorted(repr((r.record_id, r.state, r.target_id, r.body)) for r in warc.resolve(frame(spark, rows)).collect())
     assert got == brute(rows)
     assert warc.resolve(frame(spark, [])).collect() == []
+
+
+def test_repeated_header_names(spark):
+    rows = [(1, "http://a/x", T0, "response", '"t"', None, {"Via": "1", "via": "2", "X": "o"}, "b"), (2, "http://a/x", T0 + datetime.timedelta(1), "revisit", '"t"', None, {"VARY": "a", "vary": "b", "Vary": None, "X": None}, None)]
+    out = warc.resolve(frame(spark, rows)).collect()[0]
+    assert out.headers == {"via": "1, 2", "x": "o", "vary": "a, b"}
+    listed = spark.createDataFrame([(*r[:6], [(k, v) for k, v in r[6].items()] + [("Via", "3"), (None, "z")], r[7]) for r in rows], SCHEMA.replace("map<string,string>", "array<struct<name:string,value:string>>"))
+    assert warc.resolve(listed).collect()[0].headers == {"via": "3", "x": "o", "vary": "a, b"}
+
+
+def test_ids_that_are_null_or_repeat(spark):
+    later = T0 + datetime.timedelta(1)
+    rows = [(None, "http://a/n", T0, "response", None, None, None, "nameless"), (2, "http://a/n", later, "revisit", None, None, None, None)]
+    rows += [(7, f"http://a/{k}", T0, "response", None, None, None, f"body {k}") for k in range(4)] + [(10 + k, f"http://a/{k}", later, "revisit", None, None, None, None) for k in range(4)]
+    out = {r.record_id: (r.state, r.target_id, r.body) for r in warc.resolve(frame(spark, rows + rows)).collect()}
+    assert out == {2: ("unchecked", None, "nameless")} | {10 + k: ("unchecked", 7, f"body {k}") for k in range(4)}
+    assert warc.resolve(frame(spark, rows + rows)).count() == 10
+
+
+def test_canonical_urls(spark):
+    pairs = {
+        "http://A.test:80/": "a.test", "https://a.test:443": "a.test", "http://a.test:443/x": "a.test:443/x", "https://a.test:80/x": "a.test:80/x", "http://a.test/%7euser/%2f%zz%": "a.test/~user/%2F%zz%",
+        "http://a.test/?b=%41&a=%c3%a9&utm_source=x": "a.test?a=%C3%A9&b=A", "no url": "no url",
+    }
+    rows = spark.createDataFrame([(k,) for k in pairs], "u string").select("u", warc.canonical(F.col("u")).alias("c")).collect()
+    assert {r.u: r.c for r in rows} == pairs
