@@ -3,8 +3,9 @@
 1. Each scan task folds the equal texts it meets and writes one *entry* for each (hash key, text, largest id, rows).
 2. A histogram of key prefixes drives the directory: it doubles until no bucket exceeds its capacity, buckets whose
    local depth is less than the global one being shared by several directory slots.
-3. Every bucket has one owner task.  It chains the entries of a key, compares their bytes and folds equal texts.
-4. Documents look their group up by SHA-256.  A group's copies meet only as one entry per scan task, so no group is
+3. Every bucket has one owner task, which may own several.  It gets its entries sorted by key, chains those of a key,
+   compares their bytes and folds equal texts; so it holds the texts of one key at a time, however large the bucket.
+4. Documents look their group up by SHA-256 (and no two texts of one SHA-256 are known; two in one chain are an error).  A group's copies meet only as one entry per scan task, so no group is
    ever gathered; the lookup is a join on a unique side, which adaptive execution splits when a key is hot.
 """
 
@@ -17,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, stored, table, utf8
+from .common import fresh, lean, stored, table, utf8
 
-#: Bytes of text in a bucket before it splits, and the directory's largest depth: 2**20 slots of 4 bytes.
+#: Bytes of text in a bucket before it splits, and the directory's largest depth: 2**20 slots, 8 MB to broadcast.
 CAPACITY, MAX_DEPTH, STEP = 32 << 20, 20, 10
+#: Owner tasks at most; beyond that a task owns several buckets.
+OWNERS = 1 << 15
 #: Bytes of distinct texts a scan task holds before it writes them out.
 SCAN_BYTES = 24 << 20
 
@@ -111,11 +114,26 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One bucket or more: chains by key, bytes compared along the chain."""
-    index: dict[int, list[list]] = {}
+    """One bucket or more, sorted by key: bytes compared along the chain of a key."""
+    out: list[list] = []
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([e[1] for e in out], pa.string()), pa.array([e[2] for e in out], pa.int64()), pa.array([e[3] for e in out], pa.int64())], ["sha", "keep_id", "group_size"])
+
+    def close(chain: list[list]) -> None:
+        if len({e[1] for e in chain}) < len(chain):
+            raise ValueError("two different texts have one SHA-256")
+        out.extend([None, *e[1:]] for e in chain)  # the texts themselves are not needed any more
+
+    now, chain = None, []
     for b in batches:
         for key, sha, body, top, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            chain = index.setdefault(key, [])
+            if key != now:
+                close(chain)
+                now, chain = key, []
+                if len(out) >= 10_000:
+                    yield done()
+                    out.clear()
             for entry in chain:
                 if entry[0] == body:
                     entry[3] += n
@@ -124,10 +142,9 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     break
             else:
                 chain.append([body, sha, top, n])
-    rows = [e for chain in index.values() for e in chain]
-    for at in range(0, len(rows), 10_000):
-        part = rows[at : at + 10_000]
-        yield pa.RecordBatch.from_arrays([pa.array([e[1] for e in part], pa.string()), pa.array([e[2] for e in part], pa.int64()), pa.array([e[3] for e in part], pa.int64())], ["sha", "keep_id", "group_size"])
+    close(chain)
+    if out:
+        yield done()
 
 
 def _prefix(bits: int) -> Column:
@@ -136,7 +153,7 @@ def _prefix(bits: int) -> Column:
 
 def text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """(sha, keep_id, group_size) of each distinct text; the index itself."""
-    entries = stored(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_scan, "key long, sha string, body binary, top long, n long"))
+    entries = stored(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(_scan), "key long, sha string, body binary, top long, n long"))
     length = F.sum(F.octet_length("body") + 64).alias("size")
     sizes, depth = {0: 0}, 0
     while depth < MAX_DEPTH:  # deeper only while some prefix is overfull, and only below those
@@ -148,8 +165,14 @@ def text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         sizes = {p << STEP: s for p, s in sizes.items() if depth and p not in set(over)} | found
         depth += STEP
     d = Directory.built(sizes, depth, capacity)
-    bucket = F.element_at(F.lit(d.slots), _prefix(d.depth) + 1) if d.depth else F.lit(0)
-    return entries.withColumn("bucket", bucket).repartitionById(len(d.depth_of), F.col("bucket")).drop("bucket").mapInArrow(_own, "sha string, keep_id long, group_size long")
+    buckets = len(d.depth_of)
+    if d.depth:
+        slots = F.broadcast(docs.sparkSession.createDataFrame(list(enumerate(d.slots)), "slot int, bucket int"))  # 2**MAX_DEPTH rows at most
+        placed = entries.join(slots, _prefix(d.depth) == F.col("slot")).drop("slot")
+    else:
+        placed = entries.withColumn("bucket", F.lit(0))
+    dealt = placed.repartitionById(min(buckets, OWNERS), F.pmod("bucket", F.lit(OWNERS))).sortWithinPartitions("key").drop("bucket")
+    return dealt.mapInArrow(lean(_own), "sha string, keep_id long, group_size long")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
