@@ -1,8 +1,7 @@
 """URL filtering by stated rules and by mined association rules; DataFrame functions and Spark's FP-growth only.
 
 Stated rules come first: the longest that fits a URL decides.  The other URLs are judged by rules that FP-growth mines
-from labelled pages: combinations of URL tokens (host labels, path segments, names of query fields) that go together
-with the label *block* with enough support and confidence.  Mined rules lie in an inverted index, each under the one of
+from labelled pages: combinations of URL tokens (host labels, path segments, query fields) that go together with the label *block* with enough support and confidence.  Mined rules lie in an inverted index, each under the one of
 its tokens that the fewest labelled pages have, and match the URLs that have all their tokens.
 """
 
@@ -49,11 +48,14 @@ def stated(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = R
 
 
 def tokens(url: Column, host: Column, path: Column) -> Column:
-    """Distinct tokens of a URL: ``h:`` host labels, ``p:`` path segments without digits, ``q:`` names of query fields."""
+    """Distinct tokens of a URL: ``h:`` host labels, ``p:`` path segments, ``q:`` names of query fields, ``v:`` fields with their values.
+
+    Runs of digits count as one sign, so that page numbers are one token and ``casino24`` is still one.
+    """
     query = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^?#]*\?([^#]*)", 1)
-    tagged = lambda tag, parts: F.transform(F.filter(parts, lambda x: (x != "") & ~x.rlike("[0-9]")), lambda x: F.concat(F.lit(tag), x))
-    words = F.split(host, "[.-]")
-    return F.array_distinct(F.concat(tagged("h:", words), tagged("p:", F.split(F.lower(path), "[/.]")), tagged("q:", F.transform(F.split(query, "&"), lambda x: F.split_part(x, F.lit("="), F.lit(1))))))
+    tagged = lambda tag, parts: F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.concat(F.lit(tag), F.regexp_replace(x, "[0-9]+", "0")))
+    fields = F.split(F.lower(query), "&")
+    return F.array_distinct(F.concat(tagged("h:", F.split(host, "[.-]")), tagged("p:", F.split(F.lower(path), "[/.]")), tagged("q:", F.transform(fields, lambda x: F.split_part(x, F.lit("="), F.lit(1)))), tagged("v:", F.filter(fields, lambda x: F.instr(x, "=") > 0))))
 
 
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
@@ -96,6 +98,24 @@ def _matched(pages: DataFrame, rules: DataFrame) -> DataFrame:
     return pages.join(found.withColumn("mined", F.lit(True)), "tokens", "left").withColumn("mined", F.coalesce("mined", F.lit(False)))
 
 
+def _labelled(pages: DataFrame, labels: DataFrame, id_col: str, url_col: str) -> DataFrame:
+    """(page_id, tokens, bad) of the labelled pages."""
+    url = F.col(url_col).cast("string")
+    rows = pages.select(F.col(id_col).alias("page_id"), tokens(url, host_of(url), path_of(url)).alias("tokens"))
+    bad = F.when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), (F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1))
+    named = labels.select(F.col("doc_id").alias("labelled_id"), bad.alias("bad")).where("bad is not null")
+    return rows.join(named, F.col("page_id") == F.col("labelled_id")).select("page_id", "tokens", "bad")
+
+
+def held_out_lift(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """One row: rules mined from four fifths of the labelled pages, and on the fifth fifth the pages, the bad ones, those that the rules match, the bad ones of these."""
+    rows = stored(_labelled(pages, labels, id_col, url_col).withColumn("held", F.crc32(F.col("page_id").cast("string").cast("binary")) % 5 == 0))
+    rules = stored(mine(rows.where("not held").select("tokens", "bad"), support, confidence))
+    seen = _matched(rows.where("held"), rules)
+    counts = seen.agg(F.count("*").alias("pages"), F.count_if("bad").alias("bad"), F.count_if("mined").alias("matched"), F.count_if(F.col("mined") & F.col("bad")).alias("matched_bad"))
+    return counts.select(F.lit(rules.count()).alias("rules"), "*")
+
+
 def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, support: float = SUPPORT, confidence: float = CONFIDENCE, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per row of ``pages``: page_id, host, path, rule, verdict (allow or block).
 
@@ -107,9 +127,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, s
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url")).withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     rule, verdict = stated(F.col("host"), F.col("path"), rules)
     rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("stated"), tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens"))
-    bad = F.when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), (F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1))
-    named = labels.select(F.col("doc_id").alias("labelled_id"), bad.alias("bad"))
-    mined = mine(rows.join(named, F.col("page_id") == F.col("labelled_id")).select("tokens", "bad"), support, confidence)
+    mined = mine(_labelled(pages, labels, id_col, url_col).select("tokens", "bad"), support, confidence)
     out = _matched(rows, mined)
     return out.select("page_id", "host", "path", "rule", F.coalesce("stated", F.when(F.col("mined"), "block").otherwise("allow")).alias("verdict"))
 

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +71,45 @@ def test_mining_prunes(spark):
     assert urls.mine(data.limit(3)).collect() == [] and urls.mine(data.limit(0)).collect() == []
 
 
+def brute_rules(rows, support, confidence):
+    """All token combinations with enough support and confidence that no more general one with as much makes needless."""
+    n, bags = len(rows), [(frozenset(t), bad) for t, bad in rows]
+    every = {frozenset(c) for t, bad in bags if bad for k in range(1, len(t) + 1) for c in itertools.combinations(sorted(t), k)}
+    good = {}
+    for c in every:
+        hits = [bad for t, bad in bags if c <= t]
+        if sum(hits) >= max(support, urls.MIN_PAGES / n) * n - 1e-9 and sum(hits) / len(hits) >= confidence:
+            good[c] = sum(hits) / len(hits)
+    return {tuple(sorted(c)): round(x, 9) for c, x in good.items() if not any(d < c and y >= x for d, y in good.items())}
+
+
+def test_mining_equals_brute_force(spark):
+    rnd = random.Random(4)
+    rows = []
+    for _ in range(400):
+        t = rnd.sample(["h:a", "h:b", "p:en", "p:0", "q:ref", "v:ref=x", "h:spam", "p:win"], rnd.randrange(2, 6))
+        rows.append((t, rnd.random() < (0.9 if {"h:spam", "p:win"} <= set(t) else 0.7 if "v:ref=x" in t else 0.2)))
+    for support, confidence in ((0.01, 0.6), (0.05, 0.7), (0.001, 0.85)):
+        got = {tuple(r.tokens): round(r.confidence, 9) for r in urls.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), support, confidence).collect()}
+        assert got == brute_rules(rows, support, confidence) and got
+
+
+def test_tokens(spark):
+    pages = spark.createDataFrame([("http://Casino24.example.COM/mp3/2024/a.html?Cat=Adult&page=12&x#f",)], "url string")
+    u = F.col("url")
+    assert set(pages.select(urls.tokens(u, urls.host_of(u), urls.path_of(u))).first()[0]) == {"h:casino0", "h:example", "h:com", "p:mp0", "p:0", "p:a", "p:html", "q:cat", "q:page", "q:x", "v:cat=adult", "v:page=0"}
+
+
+def test_held_out_lift(spark):
+    """Labels that follow a value of a query field: the mined rules hold on pages they were not mined from."""
+    pages = spark.createDataFrame([(i, f"http://s{i}.example.io/p?cat={'adult' if i % 4 == 0 else 'news'}") for i in range(1000)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(1000)], "doc_id long, quality int, toxic int")
+    r = urls.held_out_lift(pages, labels).first()
+    assert r.rules >= 1 and r.matched == r.matched_bad == r.bad and 0 < r.bad < r.pages / 2
+    none = urls.held_out_lift(pages, labels.withColumn("toxic", F.lit(0))).first()
+    assert (none.rules, none.matched, none.bad) == (0, 0, 0)
+
+
 def test_native():
     import inspect
 
