@@ -38,8 +38,8 @@ QUOTED, ADDRESSED, FUZZY = 0.15, 1.25, 0.8
 OPENING, CLOSING = "\"“„«‘'‹", "\"”“»’'›"
 REPORTING = frozenset("said says saying called calls wrote writes quote quoted quotes reported term word slur dit disait mot citation sagte sagt schrieb zitat wort genannt dijo dice escribió palabra cita".split())
 PERSON = frozenset("you your youre u du dich dir dein deine ihr euch tu te toi vous votre ton tú ti tus usted ustedes".split())
-#: Matches of blocks held by a worker at once.
-MEMO = 400_000
+#: Matches of blocks held by a worker at once, and the longest block held; states of its automaton.
+MEMO, MEMO_BLOCK, STATES = 400_000, 64, 200_000
 
 
 @dataclass
@@ -68,6 +68,10 @@ class Automaton:
             self.end[self._path(w, k)] = (w, k, x)
         for s, x in lexicon.stems.items():
             self.stem[self._path(s, 0)] = (s, x)
+        self._anew()
+
+    def _anew(self) -> None:
+        """Without states: they are made again as words need them, which changes no result."""
         self.ids: dict[frozenset, int] = {frozenset(): 0}
         self.sets: list[frozenset] = [frozenset()]
         self.step: list[dict[str, int]] = [{}]
@@ -142,6 +146,8 @@ class Automaton:
 
     def match(self, word: str) -> tuple[str, int, float] | None:
         """(term, edits, weight), of the word or else of a stem that it opens with."""
+        if len(self.sets) > STATES:
+            self._anew()
         at, stem = self.begin, None
         step = self.step
         for c in word:
@@ -170,16 +176,18 @@ class Matcher:
 
     def hits(self, text: str) -> list[tuple[str, int, float, float]]:
         """(term, edits, weight, factor of its context) of each block with a match."""
-        blocks, memo, out = text.split(), self.memo, []
-        for b in blocks:
-            if b not in memo:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                memo[b] = self._block(b)
-        try:
-            found = [(i, m) for i, m in enumerate(map(memo.__getitem__, blocks)) if m]
-        except KeyError:  # the memo was cleared on the way
-            found = [(i, m) for i, b in enumerate(blocks) if (m := self._block(b))]
+        blocks, memo, out, found = text.split(), self.memo, [], []
+        for i, b in enumerate(blocks):
+            try:
+                m = memo[b]
+            except KeyError:
+                m = self._block(b)
+                if len(b) <= MEMO_BLOCK:
+                    if len(memo) >= MEMO:
+                        memo.clear()
+                    memo[b] = m
+            if m:
+                found.append((i, m))
         for i, m in found:
             out.append((*m, context(blocks, i)))
         return out
@@ -303,8 +311,8 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col:
             # as long as it can be and still open nine tenths of the words
             longer = [x for x in picked if x.startswith(s) and picked[x] >= 0.9 * picked[s]]
             roots[max(longer, key=lambda x: (len(x), x))] = 1.0
-    words = {w: x for w, x in words.items() if not any(w.startswith(r) for r in roots)}
-    # a word whose near spellings are common in other documents is matched as it is
+    # Words that open with a stem stay in the lexicon, for their misspellings.  A word whose near
+    # spellings are common in other documents is matched as it is.
     lexicon = Lexicon(words, roots)
 
     def strays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

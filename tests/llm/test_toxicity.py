@@ -104,3 +104,18 @@ def test_held_out_accuracy(spark):
     good, bad = [s for s, _, t in out if not t], [s for s, _, t in out if t]
     auc = sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / (len(good) * len(bad))
     assert auc > 0.9, auc
+
+
+def test_misspelt_word_under_a_stem():
+    """A word that a stem covers is found misspelt too, even within the stem."""
+    m = toxicity.Matcher(toxicity.Lexicon({"grumblefix": 1.0}, {"grumb": 1.0}))
+    assert [h[:2] for h in m.hits("grmublefix grumbling grumblefix")] == [("grumblefix", 1), ("grumb", 0), ("grumblefix", 0)]
+
+
+def test_bounds_of_memory_change_nothing(monkeypatch):
+    lexicon = toxicity.Lexicon({"grumblefix": 1.0, "blimfrak": 1.0}, {"zarg": 1.0})
+    text = " ".join(["grmublefix", "blimfark", "zargoth", "plain", "x" * 500 + "-blimfrak"] * 20)
+    want = toxicity.Matcher(lexicon).hits(text)
+    for n in ("MEMO", "MEMO_BLOCK", "STATES"):
+        monkeypatch.setattr(toxicity, n, 3)
+    assert toxicity.Matcher(lexicon).hits(text) == want and len(want) == 80
