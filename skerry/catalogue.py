@@ -121,9 +121,8 @@ def _(spark, d):
     return _parsed(spark, d).select("url", "title")
 
 
-@query("page_links", f"with {_LINKS} select distinct src as url, dst as link from links where dst not like '%.' and dst not like '%/'")
+@query("page_links", f"with {_LINKS} select distinct src as url, dst as link from links")
 def _(spark, d):
-    # by the parser, all links; the SQL leaves out those that end in a dot or a slash
     return _parsed(spark, d).select("url", F.explode("links").alias("link")).where("link <> ''").distinct()
 
 

@@ -14,7 +14,7 @@ from skerry.functions import js, urls
 from skerry.functions import severity as S
 from skerry.functions import text as T
 from skerry.operators import auth as A
-from skerry.operators import deps, frameworks, graph, html, js_relations, scope, scoring, secrets, workspace
+from skerry.operators import client, deps, frameworks, graph, html, js_relations, scope, scoring, secrets, workspace
 from skerry.plugins import Plugin, Registry
 from skerry.sources import dims, files, sinks
 from skerry.streaming import crawl
@@ -699,6 +699,73 @@ def _(spark, d):
     return crawl.frontier(_grid(spark, d), spark.createDataFrame([("HTTPS://S0.test/",)], "url string"), 3, max_pages=7)
 
 
+_LAST = "(e is null and not (s = 429 or s >= 500)) or e = 'bad request' or a >= 3"
+_ATTEMPTS = "t as (select l_orderkey as r, l_linenumber - 1 as a, case l_partkey % 5 when 0 then 200 when 1 then 503 when 2 then 429 when 3 then 404 end as s, case when l_partkey % 5 = 4 then case l_suppkey % 2 when 0 then 'i/o timeout' else 'bad request' end end as e, l_partkey as b from (select l_orderkey, l_linenumber, max(l_partkey) as l_partkey, max(l_suppkey) as l_suppkey from lineitem group by 1, 2))"
+_OUTCOMES = f"{_ATTEMPTS}, f as (select r, min(a) as a from t where {_LAST} group by r), g as (select t.r, coalesce(f.a, m) as retries, case when f.a is null then 'open' when x.e is not null then 'failed' else 'successful' end as outcome, x.s, x.e, x.b from (select r, max(a) as m from t group by r) t left join f on f.r = t.r left join (select distinct * from t) x on x.r = f.r and x.a = f.a)"
+
+
+def _outcomes(spark, d):
+    li = files.table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("l_partkey"), F.max("l_suppkey").alias("l_suppkey"))
+    p = C("l_partkey") % 5
+    status = F.when(p == 0, 200).when(p == 1, 503).when(p == 2, 429).when(p == 3, 404)
+    error = F.when(p == 4, F.when(C("l_suppkey") % 2 == 0, "i/o timeout").otherwise("bad request"))
+    return client.outcomes(li.select(C("l_orderkey").alias("request_id"), (C("l_linenumber") - 1).alias("attempt"), status.alias("status_code"), error.alias("error"), C("l_partkey").alias("bytes")))
+
+
+@query("client_outcomes", f"with {_OUTCOMES} select r as request_id, outcome, cast(s as int) as status_code, e as error, cast(retries as int) as retries, case when retries <= 5 then 0.5 * (pow(2, retries) - 1) else 25.5 end as waited from g")
+def _(spark, d):
+    return _outcomes(spark, d).drop("bytes")
+
+
+@query("client_metrics", f"with {_OUTCOMES}, h as (select count(*) as n, sum(p_size) as b from part) select count(*) + (select n from h) as total_requests, count(*) filter (outcome = 'successful') + (select n from h) as successful, count(*) filter (outcome = 'failed') as failed, (select n from h) as cached, cast(coalesce(sum(b) filter (outcome = 'successful'), 0) + (select b from h) as bigint) as bytes_received, cast(sum(retries) as bigint) as retries from g")
+def _(spark, d):
+    return client.metrics(_outcomes(spark, d), files.table(spark, d, "part").select(C("p_size").cast("long").alias("bytes")))
+
+
+@query("client_settings", "select 'w' || n_nationkey as workspace_id, case when n_regionkey = 0 then 10.0 else n_regionkey * 1.5 end as rate_limit, cast(case when n_regionkey = 0 then 5 else n_nationkey end as int) as burst, case n_nationkey % 4 when 0 then 'u:' || n_name else '' end as bearer, case n_nationkey % 4 when 1 then 'u' else '' end as user, case n_nationkey % 4 when 1 then n_name else '' end as password, case n_nationkey % 4 when 2 then n_name end as u, 'v' as x from nation")
+def _(spark, d):
+    n = files.table(spark, d, "nation")
+    kind = F.element_at(F.array(*map(F.lit, ("bearer", "basic", "header", "none"))), (C("n_nationkey") % 4 + 1).cast("int"))
+    config = n.select(F.concat(F.lit("w"), _text("n_nationkey")).alias("workspace_id"), (C("n_regionkey") * 1.5).alias("rate_limit_rps"), C("n_nationkey").cast("int").alias("rate_limit_burst"), kind.alias("auth_type"), F.concat(F.lit("u:"), F.col("n_name")).alias("auth_value"), F.create_map(F.lit("X"), F.lit("v")).alias("custom_headers"))
+    return client.settings(config).select("workspace_id", "rate_limit", "burst", "bearer", "user", "password", C("headers")["u"].alias("u"), C("headers")["X"].alias("x"))
+
+
+@query("client_redirects", "with recursive h as (select 'u' || n_nationkey as url, 'u' || (n_nationkey + n_regionkey + 1) as location from nation where n_nationkey % 5 <> 4), w(id, url, n) as (select n_nationkey, 'u' || n_nationkey, 0 from nation union all select w.id, h.location, w.n + 1 from w join h on h.url = w.url where w.n < 3) select id as request_id, url, 'a' || id as auth, n as redirects, case when n = 3 and url in (select url from h) then 'stopped after 3 redirects' end as error from (select *, row_number() over (partition by id order by n desc) as rn from w) where rn = 1")
+def _(spark, d):
+    n, k = files.table(spark, d, "nation"), C("n_nationkey")
+    u = lambda c: F.concat(F.lit("u"), c.cast("string"))
+    hops = n.where("n_nationkey % 5 <> 4").select(u(k).alias("url"), u(k + C("n_regionkey") + 1).alias("location"))
+    out = client.redirected(n.select(k.alias("request_id"), u(k).alias("url"), F.concat(F.lit("a"), k.cast("string")).alias("authorization")), hops, 3)
+    return out.select("request_id", "url", C("authorization").alias("auth"), "redirects", "error")
+
+
+@query("home_paths", "select n_nationkey, case n_nationkey % 3 when 0 then '/home/u/' || n_name when 1 then n_name else '~' || n_name end as path from nation")
+def _(spark, d):
+    k = C("n_nationkey") % 3
+    p = F.when(k == 0, F.concat(F.lit("~/"), "n_name")).when(k == 1, C("n_name")).otherwise(F.concat(F.lit("~"), "n_name"))
+    return files.table(spark, d, "nation").select("n_nationkey", client.expand_home(p, "/home/u").alias("path"))
+
+
+@query("cache_deletions", "with e as (select user_id, event_id, epoch_us(ts) as t, event_type, row_number() over (partition by user_id order by ts, event_id) as rn from events), g as (select *, event_type <> 'error' as reads, sum(case when event_type = 'error' then 1 else 0 end) over (partition by user_id order by rn) as run from e), f as (select *, row_number() over (partition by user_id, run, reads order by rn) as k from g) select count(*) filter (reads and k > 1) as hits, count(*) filter (reads and k = 1) as misses from f")
+def _(spark, d):
+    e = files.table(spark, d, "events").select(C("user_id").alias("key"), "event_id", "ts", F.when(C("event_type") == "error", "delete").otherwise("get").alias("op"))
+    return crawl.cache_stats(crawl.cache_hits(e, 1e12))
+
+
+@query("cache_cleared", "with e as (select user_id, event_id, epoch_us(ts) as t from events), c as (select epoch_us(timestamp '2024-01-10 00:00:00') as c), f as (select e.*, row_number() over (partition by user_id, t >= c order by t, event_id) as k from e, c) select count(*) filter (k > 1) as hits, count(*) filter (k = 1) as misses from f")
+def _(spark, d):
+    import datetime
+
+    at = datetime.datetime(2024, 1, 10, tzinfo=datetime.timezone.utc).timestamp()
+    return crawl.cache_stats(crawl.cache_hits(files.table(spark, d, "events").select(C("user_id").alias("key"), "event_id", "ts"), 1e12, [at]))
+
+
+@query("crawl_errors", "select 'u' || o_orderkey as url, 'failed' as error from orders where o_orderstatus = 'P'")
+def _(spark, d):
+    o = files.table(spark, d, "orders")
+    return crawl.errors(o.select(F.concat(F.lit("u"), _text("o_orderkey")).alias("url"), F.when(C("o_orderstatus") == "P", "failed").alias("error")))
+
+
 # Plugins
 
 

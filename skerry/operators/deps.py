@@ -139,8 +139,8 @@ def ecosystem(files: DataFrame, group: str = "dir") -> DataFrame:
 def lookup(pkgs: DataFrame, advisories: DataFrame, exact: bool = False) -> DataFrame:
     """Vulnerabilities of distinct packages: the advisory's name opens the package's, the version is before its fix.
 
-    An advisory list of at most ``SMALL`` rows is broadcast.  A longer one is joined on the names' first three
-    characters, which both share whenever one opens the other (shorter names stand under each length they have).
+    An advisory list of at most ``SMALL`` rows is broadcast.  A longer one is joined by whole names with each opening
+    of a package's name, so no key is common to many names.
     """
     p = pkgs.select("name", "version", "ecosystem").where("version <> ''").distinct().withColumn("vk", versions.key(F.col("version")))
     a = advisories.where("fixed_in <> ''").select("id", "package_name", F.col("ecosystem").alias("eco"), "severity", "summary", "fixed_in", versions.key(F.col("fixed_in")).alias("fk"))
@@ -151,8 +151,8 @@ def lookup(pkgs: DataFrame, advisories: DataFrame, exact: bool = False) -> DataF
     elif a.limit(SMALL + 1).count() <= SMALL:
         hits = p.join(F.broadcast(a), fits)
     else:
-        keyed = p.withColumn("k", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.substring("name", F.lit(1), n)))))
-        hits = keyed.join(a.withColumn("ak", F.substring("package_name", 1, 3)), (F.col("k") == F.col("ak")) & fits)
+        keyed = p.withColumn("k", F.explode(F.transform(F.sequence(F.lit(0), F.length("name")), lambda n: F.substring("name", F.lit(1), n))))
+        hits = keyed.join(a, (F.col("k") == F.col("package_name")) & fits)
     return hits.select("id", F.array().cast("array<string>").alias("aliases"), "summary", F.col("severity").cast("int").alias("severity"), F.col("fixed_in").alias("fixed_version"), F.col("name").alias("affected_package"), F.col("version").alias("affected_version"), "ecosystem", F.lit("advisory-db").alias("source"))
 
 

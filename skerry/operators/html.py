@@ -157,20 +157,23 @@ def unique_assets(assets: DataFrame) -> DataFrame:
 
 
 def assets(parsed: DataFrame) -> DataFrame:
-    """(page, pos, url, type) of all assets of parsed pages: in markup, styles, scripts and event handlers."""
+    """(page, pos, url, type) of all assets of parsed pages: in markup, styles, scripts and event handlers.
+
+    ``pos`` orders them by kind, by element and within the element, for up to four million of each.
+    """
     page = F.col("url").alias("page")
-    a = parsed.select(page, F.posexplode("assets").alias("pos", "a")).select("page", "pos", "a.url", "a.type")
+    a = parsed.select(page, F.posexplode("assets").alias("pos", "a")).select("page", F.col("pos").cast("long").alias("pos"), "a.url", "a.type")
 
     def more(array: str, base, refs, kind: str, rank: int) -> DataFrame:
         rows = parsed.select(page, F.col("base").alias("page_base"), F.posexplode(array).alias("i", "x"))
         rows = rows.select("page", base.alias("b"), "i", F.posexplode(refs).alias("j", "ref"))
-        return rows.select("page", (F.lit(rank) + F.col("i") * 1000 + F.col("j")).alias("pos"), urls.resolve(F.col("b"), F.col("ref")).alias("url"), F.lit(kind).alias("type"))
+        return rows.select("page", (F.lit(rank << 44) + F.shiftleft(F.col("i").cast("long"), 22) + F.col("j")).alias("pos"), urls.resolve(F.col("b"), F.col("ref")).alias("url"), F.lit(kind).alias("type"))
 
     x, text = F.col("x"), F.col("x.text")
-    out = a.unionByName(more("styles", F.col("x.base"), js.css_urls(text), "css", 1_000_000)).unionByName(more("handlers", F.col("x.base"), js.script_urls(text), "fetch", 2_000_000))
+    out = a.unionByName(more("styles", F.col("x.base"), js.css_urls(text), "css", 1)).unionByName(more("handlers", F.col("x.base"), js.script_urls(text), "fetch", 2))
     parts = [(js.script_urls(x), "fetch"), (js.dynamic_imports(x), "dynamic_import"), (F.filter(js.webpack_chunks(x), lambda r: r.rlike(r"^(\.{0,2}/|https?://)")), "webpack_chunk"), (js.vite_assets(x), "vite_asset"), (F.transform(F.filter(js.source_maps(x), lambda m: ~m["inline"]), lambda m: m["url"]), "source_map")]
     for n, (refs, kind) in enumerate(parts):
-        out = out.unionByName(more("inline_scripts", F.col("page_base"), refs, kind, 3_000_000 + n * 1_000_000))
+        out = out.unionByName(more("inline_scripts", F.col("page_base"), refs, kind, 3 + n))
     return unique_assets(out.where("url <> ''"))
 
 
@@ -198,7 +201,7 @@ def page_assets(pages: DataFrame) -> DataFrame:
     base = r.withColumnRenamed("url", "page")
 
     def whole(kind: str, refs, of: str) -> DataFrame:
-        return base.where(F.col("kind") == kind).select("page", F.posexplode(refs).alias("pos", "ref")).select("page", "pos", urls.resolve(F.col("page"), F.col("ref")).alias("url"), F.lit(of).alias("type")).where("url <> ''")
+        return base.where(F.col("kind") == kind).select("page", F.posexplode(refs).alias("pos", "ref")).select("page", F.col("pos").cast("long").alias("pos"), urls.resolve(F.col("page"), F.col("ref")).alias("url"), F.lit(of).alias("type")).where("url <> ''")
 
-    json = base.where("kind = 'json'").select("page", F.lit(0).alias("pos"), F.col("page").alias("url"), F.lit("json").alias("type"))
+    json = base.where("kind = 'json'").select("page", F.lit(0).cast("long").alias("pos"), F.col("page").alias("url"), F.lit("json").alias("type"))
     return html.unionByName(whole("css", js.css_urls(F.col("body")), "css")).unionByName(whole("js", js.script_urls(F.col("body")), "fetch")).unionByName(json)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import bisect
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -79,28 +80,46 @@ def token_bucket(events: DataFrame, rate: float = 10.0, burst: int = 5) -> DataF
     return rows.repartition("key").sortWithinPartitions("key", "t", "event_id").mapInPandas(run, "key string, event_id long, tokens double, wait double")
 
 
-def cache_hits(events: DataFrame, ttl: float = 60.0) -> DataFrame:
+def cache_hits(events: DataFrame, ttl: float = 60.0, cleared: Sequence[float] = ()) -> DataFrame:
     """``events`` (key, event_id, ts) with ``hit``: whether an entry of the key, filled by a miss, is not older than ``ttl``.
 
-    An entry keeps the time at which it was filled, so hits do not prolong it: a fold over the key's events.
+    An entry keeps the time at which it was filled, so hits do not prolong it: a fold over the key's events, read as a
+    stream.  With a column ``op``, rows of ``delete`` drop the key's entry and come out with a null ``hit``;
+    ``cleared`` are the times, in seconds, at which the whole cache was emptied.
     """
+    times = sorted(cleared)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, filled = None, None
         for p in parts:
             hit = []
-            for k, t in zip(p["key"], p["t"], strict=True):
+            for k, t, gone in zip(p["key"], p["t"], p["gone"], strict=True):
                 if k != key:
                     key, filled = k, None
-                ok = filled is not None and t - filled <= ttl
+                if gone:
+                    filled = None
+                    hit.append(None)
+                    continue
+                ok = filled is not None and t - filled <= ttl and bisect.bisect_right(times, filled) == bisect.bisect_right(times, t)
                 hit.append(ok)
                 filled = filled if ok else t
-            yield pd.DataFrame({"key": p["key"], "event_id": p["event_id"], "hit": hit})
+            yield pd.DataFrame({"key": p["key"], "event_id": p["event_id"], "hit": pd.array(hit, dtype="boolean")})
 
-    rows = events.select(F.col("key").cast("string").alias("key"), F.col("event_id").cast("long").alias("event_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    gone = F.coalesce(F.col("op") == "delete", F.lit(False)) if "op" in events.columns else F.lit(False)
+    rows = events.select(F.col("key").cast("string").alias("key"), F.col("event_id").cast("long").alias("event_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), gone.alias("gone"))
     return rows.repartition("key").sortWithinPartitions("key", "t", "event_id").mapInPandas(run, "key string, event_id long, hit boolean")
 
 
+def cache_stats(hits: DataFrame) -> DataFrame:
+    """One row: hits and misses."""
+    return hits.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+
+
+def errors(pages: DataFrame) -> DataFrame:
+    """(url, error) of the crawled pages that failed."""
+    return pages.where(F.col("error").isNotNull()).select("url", "error")
+
+
 def first_response(requests: DataFrame, responses: DataFrame) -> DataFrame:
     """Requests (url, seq, ...) with the response of the same URL and rank: the earliest open request takes the next one."""
     rank = lambda df: df.withColumn("k", F.row_number().over(Window.partitionBy("url").orderBy("seq")))
