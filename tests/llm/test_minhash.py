@@ -44,7 +44,7 @@ def got(df):
 
 @pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
 def test_whole_table(spark, k, percent):
-    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
     out = minhash.near_dedup(docs, k, percent)
     assert got(out) == brute([(r.doc_id, r.text) for r in docs.collect()], k, percent)
     assert all(r.kept == (r.doc_id == r.component_id) for r in out.collect())
@@ -99,3 +99,55 @@ def test_linked_groups_equals_pairs():
     sets = [np.unique(g.integers(0, 40, 30).astype(np.uint64)) for _ in range(60)] + [np.empty(0, np.uint64)]
     links = [(i, j) for i in range(61) for j in range(i) if len(sets[i]) and 100 * len(np.intersect1d(sets[i], sets[j])) >= 55 * len(np.union1d(sets[i], sets[j]))]
     assert minhash.linked_groups(sets, 55) == list(small.components(range(61), links).values())
+
+
+def test_pairs_within_boilerplate(spark):
+    """Documents that share a third of their shingles with all others meet strangers in most buckets; pairs among them are found all the same."""
+    rnd = random.Random(11)
+    word = lambda: f"w{rnd.randrange(9000)}"
+    common, rows = [word() for _ in range(80)], []
+    for i in range(300):
+        own = common + [word() for _ in range(80)]
+        rows.append((len(rows) + 1, " ".join(own), "a"))
+        if i % 6 == 0:
+            for at in rnd.sample(range(len(own)), 3):
+                own[at] = word()
+            rows.append((len(rows) + 1, " ".join(own), "a"))
+    rnd.shuffle(rows)
+    want = brute([(i, t) for i, t, _ in rows], 3, 80)
+    assert sum(i != c for i, _, c in want) >= 30
+    assert got(minhash.near_dedup(small.documents(spark, rows), 3, 80)) == want
+
+
+def test_workers_stay_small():
+    """A search over two full chunks takes a small multiple of their sets, whatever the texts' sizes."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, sys
+import numpy as np, pyarrow as pa
+from skerry.llm import minhash
+g = np.random.default_rng(1)
+words = np.array([f"word{i}" for i in range(50_000)])
+base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+def batches():
+    for i in range(100):
+        text = " ".join(words[g.integers(0, 50_000, 20_000)])
+        yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([text]), pa.array([1]), pa.array([0]), pa.array([1]), pa.array([True])], ["doc_id", "text", "cluster", "i", "j", "many"])
+list(minhash._search(5, 80)(batches()))
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base) // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=str(__import__("pathlib").Path(__file__).resolve().parents[2]))
+    assert int(out.stdout) < 260
+
+
+def test_salted_hubs(spark, monkeypatch):
+    from skerry.llm import components
+
+    monkeypatch.setattr(components, "HOT", 5)
+    rnd = random.Random(2)
+    links = [(1000, i) for i in range(100)] + [(i, i + 1) for i in range(200, 230)] + [(rnd.randrange(300, 400), rnd.randrange(300, 400)) for _ in range(60)] + [(2000, i) for i in range(50, 220, 3)]
+    nodes = sorted({x for a, b in links if a != b for x in (a, b)})
+    out = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert out == small.components(nodes, [x for x in links if x[0] != x[1]])
