@@ -120,10 +120,10 @@ def resolve(records: DataFrame, span: int = SPAN) -> DataFrame:
     date = F.col("last_modified") == F.col("target.last_modified")
     state = F.when(F.col("target").isNull(), "orphan").when((~F.coalesce(tag, F.lit(True))) | (~F.coalesce(date, F.lit(True))), "mismatched").when(F.coalesce(tag, date).isNotNull(), "matched").otherwise("unchecked")
     asked = asked.select("record_id", "url_key", "headers", state.alias("state"), F.col("target.record_id").alias("target_id"), F.col("target.ts").alias("target_ts"), F.col("target.content").alias("content"))
-    source = full.select(F.col("content").alias("c"), F.col("url_key").alias("u"), F.col("ts").alias("t"), F.col("record_id").alias("r"), F.col("headers").alias("source_headers"), F.col("body").alias("source_body"))
-    source = source.dropDuplicates(["c", "u", "t", "r"])
+    source = full.select(F.col("content").alias("c"), F.col("url_key").alias("u"), F.col("ts").alias("t"), F.col("headers").alias("source_headers"), F.col("body").alias("source_body"))
+    source = source.dropDuplicates(["c", "u", "t"])  # the key of the join, so both take one shuffle
     usable = F.col("state").isin("matched", "unchecked")
-    own = (F.col("content") == F.col("c")) & (F.col("url_key") == F.col("u")) & (F.col("target_ts") == F.col("t")) & F.col("target_id").eqNullSafe(F.col("r"))
+    own = (F.col("content") == F.col("c")) & (F.col("url_key") == F.col("u")) & (F.col("target_ts") == F.col("t"))
     out = asked.join(source, usable & own, "left")
     return out.select("record_id", "url_key", "state", "target_id", "target_ts", F.when(usable, F.col("source_body")).alias("body"), F.when(usable, merged(F.col("source_headers"), F.col("headers"))).otherwise(merged(F.lit(None).cast(_PAIRS), F.col("headers"))).alias("headers"))
 
