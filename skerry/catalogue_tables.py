@@ -161,9 +161,9 @@ def _(spark, d):
 
 @query("scope_loaded", f"with e as ({_ENTRIES}), u as (select c_custkey, 'https://d' || c_custkey || '.test/x' || (c_custkey % 9) as url from customer) select c_custkey, c_custkey % 6 = 4 and (not exists (select 1 from e where workspace_id = 'w1' and entry_type = 'exclude' and starts_with('/x' || (c_custkey % 9), pattern))) as in_scope from u")
 def _(spark, d):
-    s = scope.Scope.of(_entries(spark, d).where("entry_type = 'exclude' or id like 'e%'"), "w1")
+    s = scope.Scope.of(_entries(spark, d), "w1")
     u = F.concat(F.lit("https://d"), _text("c_custkey"), F.lit(".test/x"), (C("c_custkey") % 9).cast("string"))
-    return files.table(spark, d, "supplier").sparkSession.createDataFrame([], "c_custkey long, in_scope boolean").unionByName(files.table(spark, d, "customer").select("c_custkey", s.contains(u).alias("in_scope")))
+    return files.table(spark, d, "customer").select("c_custkey", s.contains(u).alias("in_scope"))
 
 
 @query("scope_config", "select 'w' || n_nationkey as workspace_id, case when n_nationkey = 3 then 2.5 else 10.0 + n_regionkey end as rate, cast(case when n_nationkey = 3 then 7 else 5 end as int) as burst, case when n_nationkey = 3 then 'bearer' end as auth_type, case when n_nationkey = 3 then 'v' end as header, n_nationkey <> 3 as respect_robots from nation union all select 'new', 1.0, 5, null, null, true")
@@ -248,11 +248,8 @@ _OSV = "osv as (select 'OSV-' || p_partkey as id, name, version, case when p_siz
 
 def _dump(spark, d):
     """An OSV dump made from parts: every third part's package has an entry."""
-    p = files.table(spark, d, "part").where("p_partkey % 3 = 0")
-    rows = files.dependencies(p).withColumnRenamed("source", "brand")
-    p = p.withColumn("fix", F.when(C("p_size") % 2 == 0, F.concat(F.lit("1.0."), _text("p_size"))).otherwise(""))
+    p = files.table(spark, d, "part").where("p_partkey % 3 = 0").withColumn("fix", F.when(C("p_size") % 2 == 0, F.concat(F.lit("1.0."), _text("p_size"))).otherwise(""))
     dep = p.select(F.concat(F.lit("OSV-"), _text("p_partkey")).alias("id"), F.expr("case p_partkey % 6 when 0 then 'lodash' when 1 then 'express' when 2 then 'axios' when 3 then 'next-auth' when 4 then 'minimatch' else 'left-pad' end").alias("name"), F.expr("concat(p_partkey % 5, '.', p_size, '.', p_partkey % 25)").alias("version"), "fix", "p_size")
-    del rows
     return dep.select(F.lit("npm").alias("ecosystem"), "name", "version", "id", F.array(F.lit("A")).alias("aliases"), F.lit("s").alias("summary"), F.when(C("p_size") % 4 == 0, "CRITICAL").otherwise("unstated").alias("stated"), F.when(C("p_size") % 4 == 1, F.array(F.lit("7.5"))).when(C("p_size") % 4 == 2, F.array(F.lit("4.0"), F.lit("9.9"))).otherwise(F.array(F.lit("CVSS:3.1/AV:N"))).alias("scores"), F.array(F.lit("0.9"), C("fix"), F.lit("")).alias("fixes"))
 
 
@@ -300,7 +297,7 @@ for _name, (_content, _found) in _FORMATS.items():
 _LOCKS = ["package.json", "go.mod", "yarn.lock", "Gemfile", "Cargo.lock", "composer.lock", "pom.xml", "readme.md"]
 
 
-@query("manifest_ecosystem", "select 'd' || p_partkey as dir, case p_partkey % 8 when 0 then 'npm' when 1 then 'Go' when 2 then 'npm' when 3 then 'RubyGems' when 4 then 'crates.io' when 5 then 'Packagist' when 6 then 'Maven' else 'PyPI' end as ecosystem, case p_partkey % 8 when 0 then 'package.json' when 1 then 'go.mod' when 2 then 'yarn.lock' when 3 then 'requirements.txt' when 4 then 'Cargo.lock' when 5 then 'composer.lock' when 6 then 'requirements.txt' else 'requirements.txt' end as file from part".replace("when 3 then 'RubyGems'", "when 3 then 'PyPI'").replace("when 6 then 'Maven'", "when 6 then 'PyPI'"))
+@query("manifest_ecosystem", "select 'd' || p_partkey as dir, case p_partkey % 8 when 0 then 'npm' when 1 then 'Go' when 2 then 'npm' when 4 then 'crates.io' when 5 then 'Packagist' else 'PyPI' end as ecosystem, case p_partkey % 8 when 0 then 'package.json' when 1 then 'go.mod' when 2 then 'yarn.lock' when 4 then 'Cargo.lock' when 5 then 'composer.lock' else 'requirements.txt' end as file from part")
 def _(spark, d):
     p = files.table(spark, d, "part")
     name = F.element_at(F.array(*map(F.lit, _LOCKS)), (C("p_partkey") % 8 + 1).cast("int"))
@@ -343,8 +340,7 @@ def _form_pages(spark, d):
 
 @query("page_assets", "select 'https://s' || s_suppkey || '.test/' as page, 'https://s' || s_suppkey || '.test' || case type when 'css' then '/s' || s_suppkey || '.css' when 'image' then '/i' || s_suppkey || '.png' else '/m' || s_suppkey || '.js' end as url, type from supplier, (values ('css'), ('image'), ('js')) v(type)")
 def _(spark, d):
-    a = html.assets(_form_pages(spark, d))
-    return a.select(C(a.columns[0]).alias("page"), *[C(c) for c in a.columns if c in ("url", "type")][-2:]) if a.columns[0] != "url" else a
+    return html.assets(_form_pages(spark, d)).select("page", "url", "type")
 
 
 @query("page_forms", "select 'https://s' || s_suppkey || '.test/' as url, case i when 1 then '/go' || s_suppkey else '' end as action, case i when 1 then 'POST' else 'GET' end as method, 1 as n_inputs, case i when 1 then 'a' || s_suppkey else 'z' end as first_input from supplier, (values (1), (2)) v(i)")
