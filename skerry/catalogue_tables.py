@@ -364,6 +364,16 @@ def _(spark, d):
     return plain("dynamic", "s.dynamic_imports").union(plain("webpack", "s.webpack_chunks")).union(plain("vite", "s.vite_assets")).union(maps)
 
 
+_QUOTED = "list_concat(list_concat(list_filter(string_split(t, '\"'), lambda x, i: i % 2 = 0), list_filter(string_split(t, chr(39)), lambda x, i: i % 2 = 0)), list_filter(string_split(t, '`'), lambda x, i: i % 2 = 0))"
+
+
+@query("js_scan", f"with s as (select url as file, unnest(regexp_extract_all(html, '(?s)<script>(.*?)</script>', 1)) as t from pages) select file, cast(len(list_distinct(list_filter({_QUOTED}, lambda u: strlen(u) >= 4 and (regexp_matches(u, '^https?://') or u like '//%' or (u like '/%' and contains(u, '.') and not contains(u, ' ')) or (contains(u, '.') and contains(u, '/') and not contains(u, ' ')))))) as int) as n_urls from s")
+def _(spark, d):
+    p = html.parse(files.table(spark, d, "pages").select("url", C("html").alias("body")))
+    s = p.select(C("url").alias("file"), F.explode("inline_scripts").alias("text")).select("file", js.scan(C("text")).alias("s"))
+    return s.select("file", F.size("s.script_urls").alias("n_urls"))
+
+
 @query("js_script_urls", "with s as (select page_id, unnest(regexp_extract_all(html, '(?s)<script>(.*?)</script>', 1)) as t from pages), q as (select page_id, unnest(list_filter(string_split(t, '\"'), lambda x, i: i % 2 = 0)) as u from s union all select page_id, unnest(list_filter(string_split(t, ''''), lambda x, i: i % 2 = 0)) from s union all select page_id, unnest(list_filter(string_split(t, '`'), lambda x, i: i % 2 = 0)) from s) select distinct page_id, u as url from q where strlen(u) >= 4 and (regexp_matches(u, '^https?://') or u like '//%' or (u like '/%' and contains(u, '.') and not contains(u, ' ')) or (contains(u, '.') and contains(u, '/') and not contains(u, ' ')))")
 def _(spark, d):
     p = files.table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"(?s)<script>(.*?)</script>"), 1)).alias("t"))
