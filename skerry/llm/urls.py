@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 #: (verdict, host, path)
-RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/"))
+RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 #: Share of the labelled pages that a combination occurs in together with the label; share of its pages that have it.
 SUPPORT, CONFIDENCE = 0.001, 0.6
 #: Least number of labelled pages behind a rule, so that few labels do not make rules of chance.
