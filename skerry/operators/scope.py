@@ -58,6 +58,15 @@ def ip_number(text: Column) -> Column:
     return F.when(whole, F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, x: a * 256 + x.try_cast("bigint")))
 
 
+def _any(tests: list[Column]) -> Column:
+    """Whether any of the tests holds, null counting as no; a flat tree, so that long lists of rules do not nest."""
+    if not tests:
+        return F.lit(False)
+    if len(tests) == 1:
+        return F.coalesce(tests[0], F.lit(False))
+    return _any(tests[: len(tests) // 2]) | _any(tests[len(tests) // 2 :])
+
+
 def ranges(cidrs: list[str]) -> list[tuple[int, int]]:
     """(lowest, highest) address of the valid IPv4 networks."""
     nets = [ipaddress.ip_network(c, strict=False) for c in cidrs if valid_cidr(c)]
@@ -79,27 +88,48 @@ class Scope:
     def contains(self, url: Column) -> Column:
         """Excludes first; then any include; without includes the target and its subdomains.  Names are not looked up."""
         host, path = urls.host(url), F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
-        out, no = [], F.lit(False)
-        for e in self.excludes:
-            no = no | (path.startswith(e) if e.startswith("/") else within(host, e))
-        out += [within(host, d) for d in self.domains] + [host == s.lower() for s in self.subdomains]
+        no = _any([path.startswith(e) if e.startswith("/") else within(host, e) for e in self.excludes])
+        out = [within(host, d) for d in self.domains] + [host == s.lower() for s in self.subdomains]
         number = ip_number(host)
         out += [number.between(a, b) for a, b in ranges(self.cidrs)] + [url.rlike("(?d)" + r) for r in self.regexes if valid_regex(r)]
         empty = not (self.domains or self.subdomains or self.cidrs or self.regexes)
-        yes = within(host, self.target) if empty and self.target else F.lit(False)
-        for c in out:
-            yes = yes | F.coalesce(c, F.lit(False))
-        return F.coalesce(~F.coalesce(no, F.lit(False)) & yes & host.isNotNull(), F.lit(False))
+        yes = _any(out + ([within(host, self.target)] if empty and self.target else []))
+        return F.coalesce(~no & yes & host.isNotNull(), F.lit(False))
 
     @classmethod
     def of(cls, entries: DataFrame, workspace: str, target: str = "") -> Scope:
-        """From the rows of a workspace's scope table: a few rules, read on the driver."""
+        """From the rows of a workspace's scope table: a few rules, read on the driver; for many see :func:`contained`."""
         rows: dict[str, list[str]] = {}
         for r in list_entries(entries, workspace).select("entry_type", "pattern").collect():
             rows.setdefault(r.entry_type, []).append(r.pattern)
         return cls(target, *(rows.get(k, []) for k in ("domain", "subdomain", "cidr", "regex", "exclude")))
 
 
+def contained(pages: DataFrame, entries: DataFrame, workspace: str, target: str = "", url: str = "url") -> DataFrame:
+    """``pages`` with ``in_scope`` as ``Scope.of(entries, workspace, target).contains(url)`` has it, for any number of rules.
+
+    Names and paths are joined: a host with the rules of its parents, a path with the rules of its openings, of the
+    lengths that rules have.  Only networks and expressions, which no join can find, are read on the driver.
+    """
+    rules = list_entries(entries, workspace).where("pattern is not null").select("entry_type", "pattern")
+    named = F.col("entry_type").isin("domain", "subdomain") | ((F.col("entry_type") == "exclude") & ~F.col("pattern").startswith("/"))
+    names = rules.where(named).groupBy(F.lower("pattern").alias("key_")).agg(*[F.max(F.col("entry_type") == k).alias(k + "_") for k in ("exclude", "domain", "subdomain")])
+    openings = rules.where("entry_type = 'exclude' and startswith(pattern, '/')").select(F.col("pattern").alias("opening_")).distinct()
+    few = {k: [r.pattern for r in rules.where(F.col("entry_type") == k).collect()] for k in ("cidr", "regex")}
+    empty = not (few["cidr"] or few["regex"]) and rules.where("entry_type in ('domain', 'subdomain')").isEmpty()
+    rest = Scope(target if empty else "", cidrs=few["cidr"], regexes=few["regex"])
+    rows = pages.withColumn("host_", urls.host(F.col(url))).withColumn("path_", F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")))
+    parts = F.split("host_", "[.]")
+    parents = rows.select("host_").where("host_ is not null").distinct().select("host_", F.posexplode(F.transform(parts, lambda x, i: F.array_join(F.slice(parts, i + 1, F.size(parts) - i), "."))).alias("i", "key_"))
+    hosts = parents.join(names, "key_").groupBy("host_").agg(F.max("exclude_").alias("exclude_"), F.max(F.col("domain_") | ((F.col("i") == 0) & F.col("subdomain_"))).alias("include_"))
+    lengths = openings.agg(F.collect_set(F.length("opening_")).alias("lengths_"))
+    opened = rows.select("path_").distinct().crossJoin(F.broadcast(lengths)).select("path_", F.explode(F.filter("lengths_", lambda n: n <= F.length("path_"))).alias("n")).select("path_", F.substring("path_", F.lit(1), F.col("n")).alias("opening_"))
+    banned = opened.join(openings, "opening_", "left_semi").select("path_", F.lit(True).alias("banned_")).distinct()
+    found = rows.join(hosts, "host_", "left").join(banned, "path_", "left")
+    no = F.coalesce("exclude_", F.lit(False)) | F.coalesce("banned_", F.lit(False))
+    return found.select(*pages.columns, (~no & (F.coalesce("include_", F.lit(False)) | rest.contains(F.col(url))) & F.col("host_").isNotNull()).alias("in_scope"))
+
+
 TYPES = ("domain", "subdomain", "cidr", "regex", "exclude")
 
 

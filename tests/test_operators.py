@@ -23,6 +23,24 @@ def test_scope_excludes_win(spark):
     assert spark.createDataFrame([("https://a.t.test",)], "u string").select(t.contains(F.col("u"))).first()[0]
 
 
+def test_joined_scope_equals_the_predicate(spark):
+    """Few rules of every type, and more than nested expressions can take."""
+    urls_ = ["https://a.x.test/p/q", "https://X.test/pp", "https://x.test./p", "http://10.0.0.9/z", "https://b.test/secret", "https://sub.b.test/", "https://s.test", "https://t.s.test/o?q", "nonsense", None, "https://a.x.test/p/q", "https:///p", "https://no.x.test/", "https://tt.test/p"]
+    pages = spark.createDataFrame(list(enumerate(urls_)), "id int, url string")
+    lists = [
+        [("domain", "X.test"), ("exclude", "No.x.test"), ("exclude", "/p/"), ("exclude", "/z"), ("cidr", "10.0.0.0/8"), ("regex", "secret"), ("subdomain", "S.test")],
+        [("exclude", "/p")], [("exclude", "")], [("cidr", "bad")], [("regex", "[")], [("subdomain", "b.test"), ("subdomain", "sub.b.test"), ("domain", "")],
+        [(k, p) for i in range(2000) for k, p in (("domain", f"d{i}.test"), ("exclude", f"/x{i}"))] + [("domain", "test")],
+    ]
+    for rules in lists:
+        rows = spark.createDataFrame([(str(i), "w", k, p) for i, (k, p) in enumerate(rules)] + [("z", "other", "domain", "tt.test")], "id string, workspace_id string, entry_type string, pattern string").withColumn("created_at", F.timestamp_seconds(F.lit(0)))
+        for target in ("", "tt.test") if len(rules) < 9 else ("",):
+            said = pages.select("id", scope.Scope.of(rows, "w", target).contains(F.col("url")).alias("in_scope"))
+            got = scope.contained(pages, rows, "w", target)
+            assert got.columns == ["id", "url", "in_scope"]
+            assert sorted(map(tuple, said.collect())) == sorted(map(tuple, got.select("id", "in_scope").collect())), (rules[:9], target)
+
+
 def test_scope_table(spark):
     from skerry import schemas
 
