@@ -29,29 +29,49 @@ def false_positive(match: Column, text: Column) -> Column:
     return suspicious_text(text) | (F.instr(F.lower(match), "placeholder") > 0) | (F.octet_length(match) < 8)
 
 
-def required(regex: str) -> tuple[str, bool]:
-    """(literal, whether case is ignored): the longest text that each match of ``regex`` has in it, empty if unknown."""
+def required(regex: str) -> tuple[list[str], bool]:
+    """(literals, whether case is ignored): texts of which each match of ``regex`` has one in it at least; empty if none are known."""
     tree = _parser.parse(regex)
-    runs = [""]
 
-    def walk(items) -> None:
+    def walk(items) -> list[list[str]]:
+        """Lists of literals, each such that any match of ``items`` has one of them; the first is of whole matches, or empty."""
+        now, sure, whole = [""], [], True
         for op, arg in items:
             if op is C.LITERAL:
-                runs[-1] += chr(arg)
-            elif op is C.SUBPATTERN and not arg[1] and not arg[2]:
-                walk(arg[3])
-            elif op is not C.AT:
-                runs.append("")
-
-    walk(tree)
-    best = max(runs, key=len)
-    return (best, bool(tree.state.flags & re.IGNORECASE)) if best.isascii() else ("", False)
+                now = [x + chr(arg) for x in now]
+                continue
+            plain = op is C.SUBPATTERN and not arg[1] and not arg[2]
+            inner = [walk(arg[3])] if plain else [walk(x) for x in arg[1]] if op is C.BRANCH else []
+            if inner and all(x[0] for x in inner) and len(now) * sum(len(x[0]) for x in inner) <= 64:
+                now = [x + y for x in now for z in inner for y in z[0]]
+                continue
+            if op is C.AT:
+                continue
+            # what stands before goes on with the beginnings of what follows
+            lead = [y for x in inner for y in x[0] or x[1]] if len(inner) <= 64 else []
+            sure.append([x + y for x in now for y in lead] if lead and len(now) * len(lead) <= 64 else now)
+            if inner:
+                best = [max(x, key=worth) for x in inner]
+                sure.append([y for x in best for y in x])
+                if len(inner) == 1:
+                    sure += inner[0]
+            now, whole = [""], False
+        return [now if whole else [], *sure, now]
+
+    def worth(x: list[str]) -> tuple[int, int]:
+        return min(map(len, x), default=-1), -len(x)
+
+    best = list(dict.fromkeys(max(walk(tree), key=worth)))
+    return (best, bool(tree.state.flags & re.IGNORECASE)) if worth(best)[0] > 1 and all(x.isascii() for x in best) else ([], False)
 
 
 def _may_match(p: Pattern, text: Column, low: Column) -> Column:
-    """A plain search that spares most texts most expressions; it never turns a match away."""
-    literal, any_case = required(p.regex)
-    return F.lit(True) if len(literal) < 2 else low.contains(literal.lower()) if any_case else text.contains(literal)
+    """Plain searches that spare most texts most expressions; they never turn a match away."""
+    literals, any_case = required(p.regex)
+    out = F.lit(not literals)
+    for x in dict.fromkeys(x.lower() if any_case else x for x in literals):
+        out = (low if any_case else text).contains(x) | out
+    return out
 
 
 def _groups(p: Pattern) -> int:
@@ -96,12 +116,13 @@ def scan(texts: DataFrame, patterns: Sequence[Pattern] | None = None, min_severi
             out = F.when(F.col("ord") == i, c) if out is None else out.when(F.col("ord") == i, c)
         return out
 
-    value = by(lambda p: _value(p, F.col("full")))
-    cols = hits.select("source", "ord", "pos", by(lambda p: p.type).alias("secret_type"), by(lambda p: p.severity).alias("severity"), by(lambda p: p.provider).alias("provider"), by(lambda p: p.key).alias("key"), "full", T.cut(F.col("full"), 80).alias("match"), value.alias("value0"), T.around(F.col("text"), F.col("full")).alias("context"))
+    cols = hits.select("source", "ord", "pos", by(lambda p: p.type).alias("secret_type"), by(lambda p: p.severity).alias("severity"), by(lambda p: p.provider).alias("provider"), by(lambda p: p.key).alias("key"), "full", T.cut(F.col("full"), 80).alias("match"), T.around(F.col("text"), F.col("full")).alias("context"))
     first = Window.partitionBy("secret_type", "match", "source").orderBy("ord", "pos")
     out = cols.withColumn("rn", F.row_number().over(first)).where("rn = 1")
     if max_findings:
         out = out.withColumn("rn", F.row_number().over(Window.partitionBy("source").orderBy("ord", "pos"))).where(F.col("rn") <= max_findings)
+    # so many expressions do not compile, and would hold up the scan if they stood in its stage
+    out = out.withColumn("value0", by(lambda p: _value(p, F.col("full"))))
     return out.select("secret_type", "severity", "provider", "key", "match", T.cut(F.col("value0"), 200).alias("value"), "source", "context", T.entropy(F.col("value0")).alias("entropy"))
 
 

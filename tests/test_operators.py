@@ -241,3 +241,31 @@ def test_titles_decode_three_references(spark):
     said = {'<title> a &quot;b&quot; &amp;lt; </title><title>c</title>': "a &quot;b&quot; &lt;", "<title>cut &amp;&amp</title>": "cut &&amp", "<title>\n&lt;x&gt;\n</title>": "\n<x>\n", "<p>none</p>": "", None: None}
     pages = spark.createDataFrame([(str(i), x) for i, x in enumerate(said)], "url string, html string")
     assert [r.title for r in html.titles(pages, "html").orderBy("url").collect()] == list(said.values())
+
+
+def test_every_match_holds_a_required_literal():
+    """Random expressions; of the built-in ones all but the two of high entropy have literals."""
+    import re
+
+    rnd = random.Random(3)
+
+    def made(depth: int) -> str:
+        kind = rnd.randrange(7 if depth else 3)
+        if kind < 3:
+            return "".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 4)))
+        if kind == 3:
+            return f"({'|'.join(made(depth - 1) for _ in range(rnd.randrange(1, 4)))})"
+        if kind == 4:
+            return "[ab]" + rnd.choice(["", "+", "*", "?"])
+        return f"(?:{made(depth - 1)}){rnd.choice(['', '?', '*', '+'])}" if kind == 5 else made(depth - 1) + made(depth - 1)
+
+    found = 0
+    for _ in range(1000):
+        literals, _case = secrets.required(regex := made(3))
+        for _ in range(30 if literals else 0):
+            for m in re.finditer(regex, "".join(rnd.choice("abc") for _ in range(rnd.randrange(14)))):
+                found += 1
+                assert any(x in m.group() for x in literals), (regex, literals)
+    assert found > 1000
+    assert [p.type for p in dims.secret_patterns() if not secrets.required(p.regex)[0]] == ["high_entropy"] * 2
+    assert secrets.required("(?i)(token|secret)[:=]") == (["token", "secret"], True) and secrets.required("(ab|[0-9])cd") == (["cd"], False)
