@@ -269,3 +269,24 @@ def test_every_match_holds_a_required_literal():
     assert found > 1000
     assert [p.type for p in dims.secret_patterns() if not secrets.required(p.regex)[0]] == ["high_entropy"] * 2
     assert secrets.required("(?i)(token|secret)[:=]") == (["token", "secret"], True) and secrets.required("(ab|[0-9])cd") == (["cd"], False)
+
+
+def test_small_files_are_dealt_over_the_cores(spark):
+    """A file of one row group is one task's work; the visits made from it are not."""
+    from skerry import catalogue_tables
+
+    one = files.table(spark, "/root/testdata/sf0.1", "customer")
+    cores = spark.sparkContext.defaultParallelism
+    for df in (files.spread(one), catalogue_tables._visits(spark, "/root/testdata/sf0.1")):
+        sizes = df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+        assert sum(sizes) == 15_000 and len(sizes) >= cores and max(sizes) <= 15_000 // cores
+    assert files.spread(one, split=1).rdd.getNumPartitions() == one.rdd.getNumPartitions()
+
+
+def test_tokens_of_odd_shapes(spark):
+    from skerry.operators import auth
+    from skerry.plans import fixtures
+
+    raw = [fixtures.TOKEN, "a.b.c", None, "eyJhbGciOiJub25lIn0.bm90IGpzb24_Pz8.x", fixtures.REFRESH]
+    rows = auth._parsed(spark.createDataFrame([(i, r) for i, r in enumerate(raw)], "i int, raw string"))
+    assert [(r.i, r.jwt.token_type, r.jwt.subject) for r in rows.orderBy("i").collect()] == [(0, "access", "user123"), (4, "refresh", "u2")]
