@@ -290,3 +290,19 @@ def test_tokens_of_odd_shapes(spark):
     raw = [fixtures.TOKEN, "a.b.c", None, "eyJhbGciOiJub25lIn0.bm90IGpzb24_Pz8.x", fixtures.REFRESH]
     rows = auth._parsed(spark.createDataFrame([(i, r) for i, r in enumerate(raw)], "i int, raw string"))
     assert [(r.i, r.jwt.token_type, r.jwt.subject) for r in rows.orderBy("i").collect()] == [(0, "access", "user123"), (4, "refresh", "u2")]
+
+
+def test_parallel_edges_are_counted_unspelled(spark):
+    """A million packages of one name with a million vulnerabilities; on few, the counts are those of the edges."""
+    def packages(n: int):
+        return spark.range(n).selectExpr("id", "if(id % 9 = 0, 'rare', 'common') as name", "if(id % 5 = 0, '', '1') as version", "'npm' as ecosystem", "'s' as source")
+
+    def vulns(n: int):
+        return spark.range(n).selectExpr("concat('v', id % 3) as id", "'' as summary", "1 as severity", "'2' as fixed_version", "if(id % 7 = 0, 'rare', 'common') as affected_package", "'1' as affected_version", "'s' as source")
+
+    few = graph.Graph().add_dependencies(packages(40), vulns(30)).add_links(spark.createDataFrame([("a.test", "b.test")] * 3, "src string, dst string"))
+    spelled = few.edges.groupBy("type", "source", "target").agg(F.count("*").alias("n"))
+    assert sorted(map(tuple, spelled.collect())) == sorted(map(tuple, few.edge_counts.collect())) != []
+    assert sorted(map(tuple, few.stats().collect())) == sorted(map(tuple, graph.stats(few.nodes, few.edges).collect()))
+    many = graph.Graph().add_dependencies(packages(1_000_000), vulns(1_000_000))
+    assert many.edge_counts.agg(F.sum("n")).first()[0] > 10**11
